@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage: its document, its words, and the document in which it stands first."""
+    from .suffix_dedup import find_repeats
+
+    found = find_repeats(table(spark, sf_dir, "documents"))
+    spans = found.select(F.col("id").alias("doc_id"), F.explode("repeats").alias("s"), (F.size("removed") > 0).alias("loses_words"))
+    return spans.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.first_id").alias("first_doc_id"), "loses_words")
+
+
 @query
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
