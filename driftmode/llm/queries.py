@@ -30,6 +30,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.first_id").alias("first_doc_id"), "loses_words")
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the compression bands for every document."""
+    from .quality_rules import score_rules
+
+    return score_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
