@@ -8,9 +8,11 @@ shingle sets (``weighted=True``: of the shingle counts), and texts are linked fr
 2. Nodes that share a band key are candidates. A bucket is never expanded into pairs: every member is
    compared with the bucket's smallest node.
 3. Links are checked against the shingle sets of the whole texts; linked nodes form components.
-4. Buckets whose members are still in several components get further members to compare with, twice as
-   many in each round (only against members of other components), until a bucket is one component or
-   all its members have been compared. So no link between texts that share a bucket is lost.
+4. Buckets whose members are still in several components are settled exactly: buckets that share members
+   make a group, a group is cut into blocks of about ``BLOCK`` nodes, and for each pair of blocks one task
+   counts the common shingles of all its nodes (a matrix product for the frequent ones, postings for the
+   rest) and returns a spanning set of the links it finds. So no link between texts that share a bucket
+   is lost, and no task or table holds the pairs of a group.
 
 With 20 bands of 4 darts a pair of similarity 0.8 shares no band with probability 2.6e-5, one of 0.9
 with 1e-9.
@@ -39,6 +41,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 20
 BAND_DARTS = 4
+#: Nodes of a group that one task compares with as many others.
+BLOCK = 1500
 
 
 def shingles(block: _text.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,34 +113,40 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, darts: int
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """(Weighted) Jaccard similarity of two sets given as ascending elements and weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - both
-    return float(both / total) if total else 0.0
+def element_sets(column: pa.Array, weighted: bool) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending; with ``weighted`` an element for each repeat as well, so that
+    common elements count the lesser of two counts."""
+    out = []
+    for block in _text.blocks(column):
+        s, off = shingles(block)
+        for x, y in zip(off[:-1], off[1:]):
+            u, c = np.unique(s[x:y], return_counts=True)
+            if weighted and len(u) and c.max() > 1:
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                u = np.sort(np.where(nth, _text.mix(np.repeat(u, c) + _text.mix(nth.astype(np.uint64))), np.repeat(u, c)))
+            out.append(u)
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets."""
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 0.0
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
     """Pairs (a, b) of nodes whose texts are similar enough. ``texts``: (node, text), one row a node."""
 
-    def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for block in _text.blocks(column):
-            s, off = shingles(block)
-            for x, y in zip(off[:-1], off[1:]):
-                u, c = np.unique(s[x:y], return_counts=True)
-                out.append((u, c.astype(np.float64) if weighted else np.ones(len(u))))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub = None, None  # rows of one hub mostly follow one another
         for batch in batches:
             a, keep = batch.column(0).to_pylist(), []
             text_a = batch.column(2)
-            for i, mine in enumerate(sets(batch.column(3))):
+            for i, mine in enumerate(element_sets(batch.column(3), weighted)):
                 if a[i] != held:
-                    held, hub = a[i], sets(text_a.slice(i, 1))[0]
+                    held, hub = a[i], element_sets(text_a.slice(i, 1), weighted)[0]
                 if jaccard(hub, mine) >= similar - 1e-12:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
@@ -146,8 +156,92 @@ def checked(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = max(16, n // 32)
+    out = np.zeros((n, n), np.float32)
+    dense = count > often
+    number = np.cumsum(dense) - 1
+    pick = dense[element]
+    col, row = number[element[pick]], owner[pick]
+    by = np.argsort(col, kind="stable")
+    col, row = col[by], row[by]
+    for k in range(0, int(dense.sum()), 2048):
+        a, b = np.searchsorted(col, (k, k + 2048))
+        m = np.zeros((n, 2048), np.float32)
+        m[row[a:b], col[a:b] - k] = 1
+        out += m @ m.T
+    pick = (count > 1)[element] & ~pick
+    by = np.argsort(element[pick], kind="stable")
+    e, o = element[pick][by], owner[pick][by]
+    for lag in range(1, often):
+        same = np.flatnonzero(e[lag:] == e[:-lag])
+        if not len(same):
+            break
+        np.add.at(out, (o[same], o[same + lag]), 1)
+        np.add.at(out, (o[same + lag], o[same]), 1)
+    return out
+
+
+def spanning_links(sets: list[np.ndarray], label: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as few as span what these links join."""
+    size = np.array([len(x) for x in sets], np.float32)
+    common = common_counts(sets)
+    linked = common >= similar * (size[:, None] + size[None, :] - common) - 1e-6
+    linked &= label[:, None] != label[None, :]
+    left, out = np.ones(len(sets), bool), []
+    for i in range(len(sets)):
+        if not left[i]:
+            continue
+        left[i] = False
+        queue = [i]
+        while queue:
+            k = queue.pop()
+            near = np.flatnonzero(linked[k] & left)
+            left[near] = False
+            out += [(k, int(x)) for x in near]
+            queue += near.tolist()
+    return out
+
+
+def _settled(members: DataFrame, texts: DataFrame, similar: float, weighted: bool, block: int) -> DataFrame:
+    """Links (a, b) within groups, from (node, root, grp): all that join different roots, or some that span the same."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+    # (a group of n nodes is read n / block times)
+    cut = members.join(sizes, "grp").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    both = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    both = both.select("grp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "root").join(texts, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+            number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+            links = spanning_links(element_sets(table.column("text"), weighted), np.array([number[r] for r in roots]), similar)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.binary()), pa.array([nodes[y] for _, y in links], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            names = list(zip(*(table.column(c).to_pylist() for c in ("grp", "i", "j"))))
+            edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1])]
+            for x, y in zip(edges, edges[1:]):
+                yield settle(table.slice(x, y - x))
+            held = table.slice(edges[-1]).to_batches()
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    keyed = both.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return keyed.select("grp", "i", "j", "node", "root", "text").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, darts: int = BAND_DARTS, weighted: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, darts: int = BAND_DARTS, weighted: bool = False, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, class_id, node) of every row of ``docs``: class_id is the smallest id of the document's class."""
     rows = written(sketches(docs, id_col, text_col, bands, darts, weighted), "sketches")
@@ -163,22 +257,15 @@ def near_duplicates(
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     links = written(checked(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), texts, similar, weighted), "links")
     roots = connected_components(links)
-    reps = 1
-    while True:
-        # buckets in which not all members have met, and that are not one component yet
-        known = buckets.where(F.col("n") > reps + 1).join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_keys = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        left = written(known.join(open_keys, "key", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        reps *= 2
-        order = Window.partitionBy("key").orderBy("node")
-        hubs = left.withColumn("at", F.row_number().over(order)).where(F.col("at") <= reps).select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        pairs = left.join(hubs, "key").where("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = written(checked(pairs, texts, similar, weighted), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links)
+    # buckets in which not all members have met, and that are not one component yet
+    known = buckets.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("hub")).where("x <> y").select("key", "hub")
+    left = written(known.join(open_keys, "key").select("node", "root", "hub").distinct(), "open")
+    if not left.isEmpty():
+        groups = connected_components(left.select("hub", "node"), "hub", "node").select("node", F.col("root").alias("grp"))
+        members = written(left.select("node", "root").distinct().join(groups, "node"), "members")
+        links = links.unionByName(written(_settled(members, texts, similar, weighted, block), "links"))
+        roots = connected_components(links)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     classes = named.join(least, "root").select("node", "class_id")
