@@ -34,7 +34,7 @@ def new_name(folder: str, prefix: str, suffix: str) -> str:
 
 def open_output(uri: str):
     system, path = locate(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 @functools.lru_cache(maxsize=8)

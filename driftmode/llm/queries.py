@@ -55,6 +55,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, indexed, and read back through the index."""
+    from .warc import build_index, read_archives, write_archives
+
+    records = read_archives(build_index(write_archives(table(spark, sf_dir, "pages"))))
+    return records.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op6_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM r"""
+
+
 @query
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
