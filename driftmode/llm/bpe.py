@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +33,34 @@ REMEMBER = 200_000
 LONG_PIECE = 64
 
 
+def _latin_class(kind: str) -> str:
+    """Members below U+0250 of a character class of ``regex``, as ranges for a class of ``re``."""
+    member = regex.compile(kind).match
+    codes = [c for c in range(0x250) if member(chr(c))]
+    return "".join(f"\\u{c:04x}" for c in codes)
+
+
+class Splitter:
+    """All matches of PATTERN in a text. Texts of Latin characters only are cut by the same pattern with its classes
+    written out, which the standard library matches in half the time."""
+
+    def __init__(self, pattern: str = PATTERN):
+        self.whole = regex.compile(pattern)
+        self.any, self.latin = self.whole.findall, None
+        if pattern == PATTERN:
+            letter, digit, space = (_latin_class(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
+            written = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
+            self.latin = re.compile(written.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")).findall
+            self.beyond = regex.compile("[^\x00-\u024f]").search
+
+    def __call__(self, text: str) -> list[str]:
+        return self.any(text) if self.latin is None or self.beyond(text) else self.latin(text)
+
+    def walk(self, text: str, start: int) -> Iterator[str]:
+        """The matches from a border on, one by one."""
+        return (m[0] for m in self.whole.finditer(text, start))
+
+
 class Remembered(dict):
     """A memo of ``make``: two generations, of which the older one is dropped when the younger is full."""
 
@@ -52,6 +81,13 @@ class Remembered(dict):
             self.clear()
         self[key] = value
 
+    def put_all(self, found: dict) -> None:
+        """Entries that are needed together stay together."""
+        if len(self) + len(found) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(found)
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a rank file: a line for each token, base64 and id."""
@@ -63,7 +99,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {i: b for b, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter(pattern)
         self.automaton = ahocorasick.Automaton()
         made = {i for b, i in ranks.items() if len(b) == 1 or self.merged(b) == [i]}  # the others are whole pieces only
         for i in made:

@@ -36,6 +36,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.first_id").alias("first_doc_id"), "loses_words")
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, and after two edits of it (a phrase in the middle replaced, another put at the front)."""
+    from .token_counts import apply_edits, build_trees
+
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    trees = build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), path).withColumn("n_before", F.col("n_tokens"))
+    middle = "cast(coalesce(length(text), 0) div 2 as bigint)"
+    edits = f"array(named_struct('start', 0L, 'end', 0L, 'text', 'Edited: '), named_struct('start', {middle}, 'end', {middle} + 12, 'text', ' it\\'s 2 new  words'))"
+    done = apply_edits(trees.withColumn("edits", F.expr(edits)), path)
+    return done.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_encoded")
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
