@@ -106,6 +106,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from plane files."""
