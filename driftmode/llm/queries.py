@@ -60,6 +60,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, by a model of the labelled documents that are not held out."""
+    from ._spark import written
+    from .quality_model import add_features, held_out, score_features, train
+
+    featured = written(add_features(table(spark, sf_dir, "documents").select("doc_id", "text")), "features")
+    model = train(featured, table(spark, sf_dir, "labels"))
+    return score_features(featured.withColumn("held_out", held_out("doc_id")), model)
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the compression bands for every document."""
