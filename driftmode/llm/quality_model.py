@@ -101,10 +101,10 @@ def add_features(docs: DataFrame, *, text_col: str = "text", out: str = "feature
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block in _text.blocks(batch.column(at)):
-                x = features(block, z)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+                values = features(block, z)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)), pa.array(values.ravel()))
                 own = batch.slice(block.first, len(block))
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(docs.columns)) if i != at), lists], names=[*rest, out])
+                yield pa.RecordBatch.from_arrays([*(x for i, x in enumerate(own.columns) if i != at), lists], names=[*rest, out])
 
     return docs.mapInArrow(run, schema)
 
