@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -72,28 +72,49 @@ def anchors(h: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[np.nd
     return g[chosen[first]], chosen[first], start[first], start[end]
 
 
-def _grams(docs: DataFrame, id_col: str, text_col: str, size: int, gram: int) -> DataFrame:
-    """(id, node, n_words, grams) of every document."""
+def _hashes(w: _text.Words, scopes: pa.Array | None) -> np.ndarray:
+    """Hashes of words, salted by the scope of their text if there are scopes: then only texts of one scope have words in common."""
+    h = w.hashes()
+    if scopes is None:
+        return h
+    salt = [int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "little") for x in scopes.to_pylist()]
+    return _text.mix(h + np.repeat(np.array(salt, np.uint64), np.diff(w.off)))
+
+
+def _grams(docs: DataFrame, size: int, gram: int, scoped: bool) -> DataFrame:
+    """(id, node, n_words, grams) of every document, from (id, text) or (id, text, scope)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(1)):
                 w = _text.words(block)
-                g, place, _, _ = anchors(w.hashes(), w.off, size, gram)
+                scopes = batch.column(2).slice(block.first, len(block)) if scoped else None
+                g, place, _, _ = anchors(_hashes(w, scopes), w.off, size, gram)
                 at = np.searchsorted(place, w.off).astype(np.int32)
-                nodes = [hashlib.md5(block.text(i), usedforsecurity=False).digest() for i in range(len(block))]
+                tails = scopes.to_pylist() if scoped else [None] * len(block)
+                nodes = [_node(block.text(i), t) for i, t in enumerate(tails)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(block)), pa.array(nodes, pa.binary()), pa.array(np.diff(w.off)), pa.ListArray.from_arrays(pa.array(at), pa.array(g.astype(np.int64)))],
                     ["id", "node", "n_words", "grams"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, node binary, n_words bigint, grams array<bigint>")
+    return docs.mapInArrow(run, "id bigint, node binary, n_words bigint, grams array<bigint>")
+
+
+def _node(text: bytes, scope: str | None) -> bytes:
+    """The name of a text (in its scope), as ``_digest`` makes it in SQL."""
+    return hashlib.md5(text if scope is None else text + b"\x00" + scope.encode(), usedforsecurity=False).digest()
+
+
+def _digest(text_col: str, scope_col: str | None = None) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.unhex(F.md5(text if scope_col is None else F.when(F.col(scope_col).isNull(), text).otherwise(F.concat(text, F.lit("\x00"), F.col(scope_col)))))
 
 
 _OCCURRENCE = "gram bigint, key bigint, id bigint, place bigint, before int, windows int, words binary"
 
 
-def _occurrences(texts: DataFrame, size: int, gram: int) -> DataFrame:
+def _occurrences(texts: DataFrame, size: int, gram: int, scoped: bool) -> DataFrame:
     """A row for each occurrence of a repeated gram, from (key, id, text, picked): the place of the gram, how many
     of its words stand before it, how many windows chose it, and the hashed words from its first window's start to its last one's end."""
 
@@ -101,10 +122,10 @@ def _occurrences(texts: DataFrame, size: int, gram: int) -> DataFrame:
         for batch in batches:
             for block in _text.blocks(batch.column(2)):
                 w = _text.words(block)
-                h = w.hashes()
+                part = batch.slice(block.first, len(block))
+                h = _hashes(w, part.column(4) if scoped else None)
                 g, place, lo, hi = anchors(h, w.off, size, gram)
                 at = np.searchsorted(place, w.off)
-                part = batch.slice(block.first, len(block))
                 lists = part.column(3)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 count = np.diff(lists.offsets.to_numpy())
@@ -131,13 +152,13 @@ def _occurrences(texts: DataFrame, size: int, gram: int) -> DataFrame:
                         [x.split()[0] for x in _OCCURRENCE.split(", ")],
                     )
 
-    return texts.select("key", "id", "text", "picked").mapInArrow(run, _OCCURRENCE)
+    return texts.select("key", "id", "text", "picked", *(["scope"] if scoped else [])).mapInArrow(run, _OCCURRENCE)
 
 
 _FOUND = "key bigint, lo bigint, hi bigint, later_lo bigint, later_hi bigint, own_lo bigint, own_hi bigint, first_id bigint"
 
 
-def sorted_matches(rows: pa.RecordBatch, size: int) -> pa.RecordBatch | None:
+def sorted_matches(rows: pa.RecordBatch, size: int, distinct: bool = False) -> pa.RecordBatch | None:
     """Repeated windows among occurrences; all rows of a gram must be in ``rows``. For each row that has some: [lo, hi)
     covers them, [later_lo, later_hi) those that stood before, [own_lo, own_hi) their source where it overlaps them."""
     grams, keys, place = (rows.column(c).to_numpy() for c in ("gram", "key", "place"))
@@ -180,7 +201,11 @@ def sorted_matches(rows: pa.RecordBatch, size: int) -> pa.RecordBatch | None:
         begin = np.flatnonzero(head)
         many = np.diff(np.append(begin, len(key)))
         first = turn[np.repeat(np.minimum.reduceat(rank[who], begin), many)]
-        hit = np.repeat(many, many) > 1
+        if distinct:  # equal windows of one document alone don't count
+            several = np.minimum.reduceat(keys[who], begin) != np.maximum.reduceat(keys[who], begin)
+            hit = np.repeat(several, many)
+        else:
+            hit = np.repeat(many, many) > 1
         who, first = who[hit], first[hit]
         s = place[who] - k
         lo[who], hi[who] = np.minimum(lo[who], s), np.maximum(hi[who], s + size)
@@ -203,7 +228,7 @@ def sorted_matches(rows: pa.RecordBatch, size: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _FOUND.split(", ")])
 
 
-def _sorted_groups(rows: DataFrame, size: int) -> DataFrame:
+def _sorted_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
     """Sort and compare the suffixes of each gram. Rows come ordered by gram; whole grams are gathered up to CHUNK rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +236,7 @@ def _sorted_groups(rows: DataFrame, size: int) -> DataFrame:
         count = 0
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows and (found := sorted_matches(table.combine_chunks().to_batches()[0], size)):
+            if table.num_rows and (found := sorted_matches(table.combine_chunks().to_batches()[0], size, distinct)):
                 yield found
 
         for batch in batches:
@@ -232,7 +257,7 @@ def _sorted_groups(rows: DataFrame, size: int) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _FOUND)
 
 
-def _split_groups(rows: DataFrame, size: int) -> DataFrame:
+def _split_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
     """The same for grams of very many occurrences: windows are counted by their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +274,8 @@ def _split_groups(rows: DataFrame, size: int) -> DataFrame:
 
     flat = rows.mapInArrow(run, "window bigint, key bigint, id bigint, s bigint")
     place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "key", "s")
-    first = flat.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
+    first = flat.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("f"), (F.min("key") != F.max("key")).alias("several"))
+    first = first.where("several" if distinct else "n > 1").drop("several")
     both = flat.join(first, "window")
     later = (F.col("key") != F.col("f.key")) | (F.col("s") != F.col("f.s"))
     near = later & (F.col("key") == F.col("f.key")) & (F.col("s") - F.col("f.s") < size)
@@ -268,36 +294,43 @@ def _merged(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            repeats, removed = [], []
-            for rows in batch.column(1).to_pylist():
-                a = np.array([[r[c] for c in ("lo", "hi", "later_lo", "later_hi", "own_lo", "own_hi")] for r in rows], np.int64)
-                whose: dict[int, int | None] = {}
-                for r in rows:
-                    known = whose.setdefault(r["lo"], r["first_id"])
-                    if r["first_id"] is not None and (known is None or r["first_id"] < known):
-                        whose[r["lo"]] = r["first_id"]
-                s, e = _text.merge_spans(a[:, 0], a[:, 1])
-                repeats.append([{"start": int(x), "end": int(y), "first_id": whose[int(x)]} for x, y in zip(s, e)])
-                last = int(a[:, 1].max())
-                gone = np.zeros(last + 1, np.int32)
-                for lo, hi, sign in ((a[:, 2], a[:, 3], 1), (a[:, 4], a[:, 5], -(1 << 20))):
-                    some = hi >= 0
-                    np.add.at(gone, lo[some], sign)
-                    np.add.at(gone, hi[some], -sign)
-                change = np.diff(np.concatenate(([0], (np.cumsum(gone) > 0).astype(np.int8), [0])))
-                removed.append([{"start": int(x), "end": int(y), "first_id": None} for x, y in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1))])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(repeats, kind), pa.array(removed, kind)], ["key", "repeats", "removed"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                lists = part.column(1)
+                flat = lists.flatten()
+                lo, hi, later_lo, later_hi, own_lo, own_hi = (flat.field(c).to_numpy() for c in ("lo", "hi", "later_lo", "later_hi", "own_lo", "own_hi"))
+                ids = flat.field("first_id").fill_null(_LAST).to_numpy()
+                off = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+                repeats, removed = [], []
+                for x, y in zip(off[:-1], off[1:]):
+                    s, e = _text.merge_spans(lo[x:y], hi[x:y])
+                    by = np.lexsort((ids[x:y], lo[x:y]))
+                    first = ids[x:y][by][np.searchsorted(lo[x:y][by], s)]
+                    repeats.append([{"start": u, "end": v, "first_id": None if f == _LAST else f} for u, v, f in zip(s.tolist(), e.tolist(), first.tolist())])
+                    gone = np.zeros(int(hi[x:y].max()) + 1, np.int32)
+                    for a, b, sign in ((later_lo[x:y], later_hi[x:y], 1), (own_lo[x:y], own_hi[x:y], -(1 << 20))):
+                        some = b >= 0
+                        np.add.at(gone, a[some], sign)
+                        np.add.at(gone, b[some], -sign)
+                    change = np.diff(np.concatenate(([0], (np.cumsum(gone) > 0).astype(np.int8), [0])))
+                    removed.append([{"start": u, "end": v, "first_id": None} for u, v in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist())])
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_id", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(repeats, kind), pa.array(removed, kind)], ["key", "repeats", "removed"])
 
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "later_lo", "later_hi", "own_lo", "own_hi", "first_id")).alias("rows"))
     return grouped.mapInArrow(run, f"key bigint, repeats {_SPANS}, removed {_SPANS}")
 
 
-def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, distinct: bool = False, min_words: int = MIN_WORDS, anchor: int = ANCHOR, hot: int = HOT
+) -> DataFrame:
     """Documents with repeated passages: (id, node, n_words, repeats, removed). ``node`` is the text's MD5; spans are in
     words, half-open and ascending; ``first_id`` is the document of the first occurrence of the span's first window;
-    ``removed`` leaves out what is a first occurrence. One row for each distinct (id, text) of ``docs``."""
-    rows = written(_grams(docs, id_col, text_col, min_words, anchor), "grams")
+    ``removed`` leaves out what is a first occurrence. One row for each distinct (id, text) of ``docs``. With ``scope_col``
+    only texts of equal scope are compared; with ``distinct`` a window must stand in two documents."""
+    scoped = scope_col is not None
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *([F.coalesce(scope_col, F.lit("")).alias("scope")] if scoped else []))
+    rows = written(_grams(base, min_words, anchor, scoped), "grams")
     # equal texts: the row of the smallest id stands for all
     texts = rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     own = rows.join(texts, "node").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
@@ -306,12 +339,13 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeated = flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     kept = flat.join(repeated, "gram").groupBy("key").agg(F.collect_list(F.struct("i", "n")).alias("p"))
     kept = written(own.drop("grams", "copies").join(kept, "key"), "kept")
-    whole = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    both = whole.join(kept, F.unhex(F.md5("text")).eqNullSafe(F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
+    whole = base.withColumnRenamed("id", "_id").withColumn("text", F.coalesce("text", F.lit("")))
+    whole = whole.withColumn("_node", _digest("text", "scope" if scoped else None))
+    both = whole.join(kept, F.col("_node").eqNullSafe(F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
     pick = lambda c: F.transform(F.filter("p", c), lambda x: x["i"])
-    found = _sorted_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] <= hot)), min_words, anchor), min_words)
+    found = _sorted_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] <= hot)), min_words, anchor, scoped), min_words, distinct)
     if not kept.where(F.exists("p", lambda x: x["n"] > hot)).isEmpty():
-        found = found.unionByName(_split_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] > hot)), min_words, anchor), min_words))
+        found = found.unionByName(_split_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] > hot)), min_words, anchor, scoped), min_words, distinct))
     spans = _merged(found)
     # a text with copies is a repeat from end to end; its first document keeps it
     all_words = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.col("least").alias("first_id")))
@@ -328,9 +362,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     removed word goes with it. ``chars_col``, where the table has it, is counted anew for changed texts."""
     found = find_repeats(docs, id_col=id_col, text_col=text_col, **options).where(F.size("removed") > 0)
     found = found.select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("removed").alias("_removed"))
-    own = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(text_col, F.lit("")))))
+    own = docs.withColumn("_digest", _digest(text_col))
     both = own.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_node")), "left")
-    text_at, cut_at = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    text_at, cut_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +388,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     texts[i] = w.buf[left].tobytes().decode()
             columns = list(batch.columns[:cut_at])
             columns[text_at] = pa.array(texts, columns[text_at].type)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in columns], names=names)
 
     out = both.select(*(both[c] for c in docs.columns), "_removed").mapInArrow(run, docs.schema)
     if chars_col in docs.columns:
