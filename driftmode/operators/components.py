@@ -3,7 +3,8 @@
 Every round replaces each vertex's links by links to its smallest neighbour, first for the larger
 neighbours, then for the smaller ones; the rounds needed grow with the logarithm of the size.
 Links stay in tables: grouping keeps one minimum per vertex and is combined before the shuffle, and a
-vertex with very many links is an ordinary skewed join that adaptive execution splits.
+vertex with very many links is an ordinary skewed join, of a written table on either side, that adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to the vertex's smallest neighbour (or itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them. Edges have v < u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
