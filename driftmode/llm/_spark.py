@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns under names that no operator uses, and the new name of each."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``set_aside`` renamed, as they were."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def without(docs: DataFrame, *added: str) -> DataFrame:
+    """``docs`` without columns named like those that an operator adds; these take their place."""
+    taken = {c.lower() for c in added}
+    return docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in taken))
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -6,8 +6,10 @@ NumPy passes over the bytes of a block of rows, so no Python object exists per w
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,25 @@ _LOWER[0x41:0x5B] += 32
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
+def freed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, after which a Python worker, which outlives its task, gives unused memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        yield from run(*args)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (wraps around)."""
     x = (x ^ (x >> _S32)) * _C1

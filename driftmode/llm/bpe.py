@@ -9,7 +9,8 @@ remembered. The result is that of the merges in order of rank, found in linear t
 
 Defined results: null and empty texts have no ids; special tokens are ordinary text; a piece that is
 a token as a whole is that token, also where merges don't lead to it; ids that the vocabulary
-lacks raise an error in decoding; other columns are passed on.
+lacks raise an error in decoding; other columns are passed on, but one named like the added column gives
+way to it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import _text
+from ._spark import without
+
 #: Fixed value: the published split pattern of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, and token pairs, that a worker remembers: two generations of so many entries.
@@ -172,9 +176,11 @@ def vocabulary(path: str, pattern: str = PATTERN) -> Vocabulary:
 
 def _map_column(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, work) -> DataFrame:
     """``df`` with a column that ``work(list of values) -> list`` makes from ``column``."""
+    df = without(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     at = df.columns.index(column)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

@@ -11,8 +11,8 @@ Benchmark windows travel in broadcast blocks of at most ``BENCH_BLOCK`` bytes of
 benchmark makes more blocks, which a task loads one at a time and searches in the index that it has.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
-repeated items count once by id; an empty benchmark contaminates nothing; input columns are passed on
-and must not be named like the added ones.
+repeated items count once by id; an empty benchmark contaminates nothing; input columns are passed on,
+but one named like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _text
+from ._spark import put_back, set_aside, without
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -151,6 +152,7 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids of the items with occurring windows, sorted as text),
     spans (hit byte ranges of the text, merged) and contaminated (n_hit > 0 and one_in * n_hit >= n_words)."""
+    docs = without(docs, *ADDED.names)
     sc = docs.sparkSession.sparkContext
     held = [sc.broadcast(p) for p in benchmark_blocks(benchmark, size, item_id_col, item_text_col)]
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
@@ -163,6 +165,7 @@ def find_contamination(
             if len(held) > 1:
                 vars(b).pop("_value", None)  # one block in memory at a time
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(text_at)):
@@ -180,4 +183,6 @@ def items_digest(ids: list[str] | None) -> str:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, whole and with their own columns."""
-    return find_contamination(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+    own, names = set_aside(docs)
+    found = find_contamination(own, benchmark, text_col=names[options.pop("text_col", "text")], **options)
+    return put_back(found.where(~F.col("contaminated")), names)

@@ -6,7 +6,7 @@
 2. A page with main blocks has these as its text. The article is stated there by the page itself, so passages that it
    shares with other pages stay.
 3. In pages without main blocks the open blocks are undecided. Per host they are token streams of a suffix array:
-   runs of at least ``RUN`` words that stand on two distinct pages of the host are boilerplate, and the
+   runs of at least ``RUN`` words that stand on two different pages of the host (pages of equal text are one) are boilerplate, and the
    words they cover go (but not a few words at the edge of a block that is otherwise unique); what is left of each block, the unique runs, is the text. The array is the sparse
    one of ``suffix_dedup``, with words salted by host, so a host with very many pages is no single task.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import written
-from .suffix_dedup import find_repeats
+from .suffix_dedup import digest, find_repeats
 
 RUN = 8
 #: Words of the grams by which runs are found.
@@ -212,8 +212,8 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     undecided = parsed.where(F.col("open").isNotNull()).select("page_id", "url", "open", "host", "name")
     done = decided.where(F.col("text").isNotNull()).select("page_id", "url", "text")
     if not undecided.isEmpty():
-        found = find_repeats(undecided, id_col="name", text_col="open", scope_col="host", distinct=True, min_words=run_words, anchor=GRAM).select("id", "repeats")
-        both = undecided.join(found, F.col("name") == F.col("id"), "left").select("page_id", "url", "open", "repeats")
+        found = find_repeats(undecided, id_col="name", text_col="open", scope_col="host", distinct=True, min_words=run_words, anchor=GRAM).select("node", "repeats")
+        both = undecided.join(found, digest("open", "host") == F.col("node"), "left").select("page_id", "url", "open", "repeats")
         kind = parsed.schema["page_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

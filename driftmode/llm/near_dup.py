@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import _text
-from ._spark import written
+from ._spark import put_back, set_aside, written
 from .dart_minhash import band_keys, signatures
 
 SHINGLE = 5
@@ -87,6 +87,7 @@ def _node(text: bytes) -> bytes:
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, darts: int, weighted: bool) -> DataFrame:
     """(id, node, keys) of every document; keys is empty for a text without words."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(1)):
@@ -139,6 +140,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def checked(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
     """Pairs (a, b) of nodes whose texts are similar enough. ``texts``: (node, text), one row a node."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub = None, None  # rows of one hub mostly follow one another
         for batch in batches:
@@ -215,6 +217,7 @@ def _settled(members: DataFrame, texts: DataFrame, similar: float, weighted: boo
     both = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     both = both.select("grp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "root").join(texts, "node")
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -247,7 +250,8 @@ def near_duplicates(
     rows = written(sketches(docs, id_col, text_col, bands, darts, weighted), "sketches")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), "node")
-    sizes = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    # (aggregates are written before they are joined: then a hot key's rows can be split over tasks)
+    sizes = written(members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "sizes")
     buckets = written(members.join(sizes, "key").select("key", "node", "a", "n"), "buckets")
     ids = buckets.select("node").distinct()
     whole = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
@@ -259,7 +263,8 @@ def near_duplicates(
     roots = connected_components(links)
     # buckets in which not all members have met, and that are not one component yet
     known = buckets.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("hub")).where("x <> y").select("key", "hub")
+    open_keys = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("hub")).where("x <> y")
+    open_keys = written(open_keys.select("key", "hub"), "open-keys")
     left = written(known.join(open_keys, "key").select("node", "root", "hub").distinct(), "open")
     if not left.isEmpty():
         groups = connected_components(left.select("hub", "node"), "hub", "node").select("node", F.col("root").alias("grp"))
@@ -267,17 +272,18 @@ def near_duplicates(
         links = links.unionByName(written(_settled(members, texts, similar, weighted, block), "links"))
         roots = connected_components(links)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    least = written(named.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
     classes = named.join(least, "root").select("node", "class_id")
-    return rows.select(F.col("id").alias(id_col), "node").join(classes, "node").select(id_col, "class_id", "node")
+    return rows.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "class_id", "node")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, that with the smallest id, with all its columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     # of a class whose smallest id occurs with several texts, the text of the smallest digest
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node"))
-    own = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(text_col, F.lit("")))))
-    hit = own.join(kept, own[id_col].eqNullSafe(kept["class_id"]) & (F.col("_digest") == F.col("_node")))
-    first = Window.partitionBy(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_digest").orderBy(F.lit(1))
-    return hit.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("kept_node"))
+    own, names = set_aside(docs)
+    own = own.withColumn("digest", F.unhex(F.md5(F.coalesce(names[text_col], F.lit("")))))
+    hit = own.join(kept, F.col(names[id_col]).eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("kept_node")))
+    first = Window.partitionBy(names[id_col], "digest").orderBy(F.lit(1))
+    return put_back(hit.withColumn("nth", F.row_number().over(first)).where("nth = 1"), names)

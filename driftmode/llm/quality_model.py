@@ -11,8 +11,8 @@ The fit uses at most ``MAX_ROWS`` labelled rows, those of the least hash of thei
 computed for all documents by their partitions, and only these rows' features reach the driver.
 
 Defined results: null text counts as empty and has a score; an id that is labelled twice counts twice; null labels
-are left out; without labels, or with one class only, the score is the smoothed share of label 1; other columns
-are passed on.
+are left out; without labels, or with one class only, the score is the smoothed share of label 1; other columns are passed on, but one named
+like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
+from ._spark import without
 from .quality_rules import base_counts
 
 FEATURES = (
@@ -93,10 +94,12 @@ def features(block: _text.Block, z: zstandard.ZstdCompressor) -> np.ndarray:
 
 def add_features(docs: DataFrame, *, text_col: str = "text", out: str = "features") -> DataFrame:
     """``docs`` without the text, with an array of FEATURES."""
+    docs = without(docs, out)
     rest = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out, T.ArrayType(T.DoubleType()))])
     at = docs.columns.index(text_col)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -233,10 +236,12 @@ def train(featured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lab
 
 def score_features(featured: DataFrame, model: AdditiveModel, *, features_col: str = "features", cut: float = CUT) -> DataFrame:
     """``featured`` without the features, with score and predicted."""
+    featured = without(featured, "score", "predicted")
     rest = [c for c in featured.columns if c != features_col]
     schema = T.StructType([*(featured.schema[c] for c in rest), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     at = featured.columns.index(features_col)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))

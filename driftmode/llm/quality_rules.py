@@ -9,7 +9,8 @@ The fixed rules of the base (few words, repeated 3-word windows) reject on their
 runs of characters other than white space (0x20, 0x09-0x0D).
 
 Defined results: null text counts as empty; a text of fewer than 50 words always fails the base; chunks
-of fewer than half the chunk size have no verdict of their own; other columns are passed on.
+of fewer than half the chunk size have no verdict of their own; other columns are
+passed on, but one named like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _text
+from ._spark import put_back, set_aside, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -115,11 +116,13 @@ def ratios(text: bytes, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK
 
 
 def score_rules(docs: DataFrame, *, text_col: str = "text", bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK, level: int = LEVEL) -> DataFrame:
-    """``docs`` with the base counts, base_failed, the ratios and kept. The input must not have columns of these names."""
+    """``docs`` with the base counts, base_failed, the ratios and kept."""
+    docs = without(docs, *ADDED.names)
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
     arrow = to_arrow_schema(ADDED)
     at = docs.columns.index(text_col)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=level, write_checksum=False)
         for batch in batches:
@@ -140,7 +143,5 @@ def score_rules(docs: DataFrame, *, text_col: str = "text", bands=BANDS, chunk_b
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # own columns may be named like the added ones
-    text = names[options.pop("text_col", "text")]
-    scored = score_rules(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), text_col=text, **options)
-    return scored.where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
+    own, names = set_aside(docs)
+    return put_back(score_rules(own, text_col=names[options.pop("text_col", "text")], **options).where("kept"), names)

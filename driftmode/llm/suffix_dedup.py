@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import written
+from ._spark import put_back, set_aside, written
 
 MIN_WORDS = 50
 ANCHOR = 16
@@ -84,6 +84,7 @@ def _hashes(w: _text.Words, scopes: pa.Array | None) -> np.ndarray:
 def _grams(docs: DataFrame, size: int, gram: int, scoped: bool) -> DataFrame:
     """(id, node, n_words, grams) of every document, from (id, text) or (id, text, scope)."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(1)):
@@ -102,11 +103,11 @@ def _grams(docs: DataFrame, size: int, gram: int, scoped: bool) -> DataFrame:
 
 
 def _node(text: bytes, scope: str | None) -> bytes:
-    """The name of a text (in its scope), as ``_digest`` makes it in SQL."""
+    """The name of a text (in its scope), as ``digest`` makes it in SQL."""
     return hashlib.md5(text if scope is None else text + b"\x00" + scope.encode(), usedforsecurity=False).digest()
 
 
-def _digest(text_col: str, scope_col: str | None = None) -> Column:
+def digest(text_col: str, scope_col: str | None = None) -> Column:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return F.unhex(F.md5(text if scope_col is None else F.when(F.col(scope_col).isNull(), text).otherwise(F.concat(text, F.lit("\x00"), F.col(scope_col)))))
 
@@ -118,6 +119,7 @@ def _occurrences(texts: DataFrame, size: int, gram: int, scoped: bool) -> DataFr
     """A row for each occurrence of a repeated gram, from (key, id, text, picked): the place of the gram, how many
     of its words stand before it, how many windows chose it, and the hashed words from its first window's start to its last one's end."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(2)):
@@ -231,6 +233,7 @@ def sorted_matches(rows: pa.RecordBatch, size: int, distinct: bool = False) -> p
 def _sorted_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
     """Sort and compare the suffixes of each gram. Rows come ordered by gram; whole grams are gathered up to CHUNK rows."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
@@ -260,6 +263,7 @@ def _sorted_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
 def _split_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
     """The same for grams of very many occurrences: windows are counted by their content."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
@@ -275,7 +279,7 @@ def _split_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
     flat = rows.mapInArrow(run, "window bigint, key bigint, id bigint, s bigint")
     place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "key", "s")
     first = flat.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("f"), (F.min("key") != F.max("key")).alias("several"))
-    first = first.where("several" if distinct else "n > 1").drop("several")
+    first = written(first.where("several" if distinct else "n > 1").drop("several"), "windows")
     both = flat.join(first, "window")
     later = (F.col("key") != F.col("f.key")) | (F.col("s") != F.col("f.s"))
     near = later & (F.col("key") == F.col("f.key")) & (F.col("s") - F.col("f.s") < size)
@@ -292,6 +296,7 @@ _SPANS = "array<struct<start:bigint,end:bigint,first_id:bigint>>"
 def _merged(found: DataFrame) -> DataFrame:
     """(key, repeats, removed): the spans of each document in words. A document's rows are as many as its minimisers at most."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -327,20 +332,22 @@ def find_repeats(
     """Documents with repeated passages: (id, node, n_words, repeats, removed). ``node`` is the text's MD5; spans are in
     words, half-open and ascending; ``first_id`` is the document of the first occurrence of the span's first window;
     ``removed`` leaves out what is a first occurrence. One row for each distinct (id, text) of ``docs``. With ``scope_col``
-    only texts of equal scope are compared; with ``distinct`` a window must stand in two documents."""
+    only texts of equal scope are compared; with ``distinct`` a window must stand in two different texts, and equal ones
+    are one, that has one row."""
     scoped = scope_col is not None
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *([F.coalesce(scope_col, F.lit("")).alias("scope")] if scoped else []))
     rows = written(_grams(base, min_words, anchor, scoped), "grams")
     # equal texts: the row of the smallest id stands for all
-    texts = rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    texts = rows.groupBy("node").agg(F.min("id").alias("least"), (F.lit(1) if distinct else F.count("*")).alias("copies"))
     own = rows.join(texts, "node").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
     own = written(own.select(F.monotonically_increasing_id().alias("key"), "id", "node", "n_words", "copies", "grams"), "own")
     flat = own.select("key", F.posexplode("grams").alias("i", "gram"))
-    repeated = flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below has a plain shuffle on either side and a very frequent gram can be split
+    repeated = written(flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     kept = flat.join(repeated, "gram").groupBy("key").agg(F.collect_list(F.struct("i", "n")).alias("p"))
     kept = written(own.drop("grams", "copies").join(kept, "key"), "kept")
     whole = base.withColumnRenamed("id", "_id").withColumn("text", F.coalesce("text", F.lit("")))
-    whole = whole.withColumn("_node", _digest("text", "scope" if scoped else None))
+    whole = whole.withColumn("_node", digest("text", "scope" if scoped else None))
     both = whole.join(kept, F.col("_node").eqNullSafe(F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
     pick = lambda c: F.transform(F.filter("p", c), lambda x: x["i"])
     found = _sorted_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] <= hot)), min_words, anchor, scoped), min_words, distinct)
@@ -362,11 +369,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     removed word goes with it. ``chars_col``, where the table has it, is counted anew for changed texts."""
     found = find_repeats(docs, id_col=id_col, text_col=text_col, **options).where(F.size("removed") > 0)
     found = found.select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("removed").alias("_removed"))
-    own = docs.withColumn("_digest", _digest(text_col))
-    both = own.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_node")), "left")
-    names = docs.columns
-    text_at, cut_at = names.index(text_col), len(names)
+    own, named = set_aside(docs)
+    own = own.withColumn("digest", digest(named[text_col]))
+    both = own.join(found, F.col(named[id_col]).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_node")), "left")
+    names = list(named.values())
+    text_at, cut_at = docs.columns.index(text_col), len(names)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
@@ -390,7 +399,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in columns], names=names)
 
-    out = both.select(*(both[c] for c in docs.columns), "_removed").mapInArrow(run, docs.schema)
+    out = put_back(both.select(*names, "_removed").mapInArrow(run, own.drop("digest").schema), named)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

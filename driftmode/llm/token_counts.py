@@ -10,7 +10,8 @@ between becomes new segments; all others keep their counts.
 
 Defined results: null and empty texts have no segments and no tokens; edits beyond the end are cut off at
 it; edits are given in characters of the text as it was, ascending and not overlapping; null edits
-are none; a null replacement is empty; other columns are passed on.
+are none; a null replacement is empty; other columns are passed on, but those named like added columns give way to
+them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import _text
+from ._spark import without
 from .bpe import LONG_PIECE, PATTERN, Remembered, Splitter, read_ranks
 
 LEAF = 64
@@ -146,9 +149,11 @@ def edit(text: str, tree: SegmentTree, start: int, end: int, new: str, c: Counte
 
 def build_trees(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``tree`` (the segments, packed) and ``n_tokens``."""
+    docs = without(docs, "tree", "n_tokens")
     schema = T.StructType([*docs.schema.fields, T.StructField("tree", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
     at = docs.columns.index(text_col)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
@@ -164,10 +169,12 @@ def build_trees(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFr
 def apply_edits(docs: DataFrame, path: str, *, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """Rows of ``build_trees`` with a column ``edits`` (array of start, end, text) after their edits: text, tree and
     n_tokens are the new ones, ``n_encoded`` counts the characters that were encoded again."""
+    docs = without(docs, "n_encoded")
     schema = T.StructType([*docs.drop(edits_col).schema.fields, T.StructField("n_encoded", T.LongType())])
     names = docs.columns
     text_at, edits_at, tree_at, count_at = (names.index(x) for x in (text_col, edits_col, "tree", "n_tokens"))
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:

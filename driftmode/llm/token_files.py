@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import _files
-from ._spark import fresh_dir, written
-from .bpe import LONG_PIECE, PATTERN, Remembered
+from . import _files, _text
+from ._spark import fresh_dir, partitions, written
+from .bpe import LONG_PIECE, Remembered, Splitter
 
 BLOCK = 1 << 16
 LEVEL = 3
+#: Pieces in each of the two generations of a worker's memo.
+REMEMBER = 320_000
 _MAGIC = b"PLN1"
 _FOOT = struct.Struct("<QQQQQ4s")
 BYTE, BIT = 1, 2
@@ -102,7 +105,7 @@ class Writer:
     def _flush(self, ids: np.ndarray) -> None:
         start, sizes = self.at, []
         for plane in to_planes(ids, self.mode):
-            frame = self.z.compress(plane) if any(plane) else b""
+            frame = b"" if plane.count(0) == len(plane) else self.z.compress(plane)
             sizes.append(len(frame))
             self._put(frame)
         self.index.append(struct.pack(f"<QQI{len(sizes)}I", start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *sizes))
@@ -180,32 +183,57 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
-        self.pieces = Remembered(lambda p: self._ids([p])[0])
+        self.split = Splitter()
+        self.pieces = Remembered(lambda p: self._ids([p])[0], REMEMBER)
+        words = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of a token: it is written with one character for each
+        self.size[list(words.values())] = [len(w) for w in words]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the memo's younger generation lacks: one call of the library for the new ones."""
+        long = {p for p in pieces if len(p) > LONG_PIECE}  # not remembered
+        aside = dict(zip(long, self._ids(list(long)))) if long else {}
+        old = self.pieces.old
+        found = {p: old[p] for p in pieces if p in old}
+        new = list(pieces.difference(found, long))
+        if new:
+            (e,) = self.tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            # a piece ends where its bytes are used up
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(list(map(len, map(str.encode, new))))) + 1
+            ids = ids.tobytes()
+            at = [0, *(4 * ends).tolist()]
+            found.update((p, ids[a:b]) for p, a, b in zip(new, at, at[1:]))
+        self.pieces.put_all(found)
+        return found | aside if aside else found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole, cut = [], []
+        get = self.pieces.get
+        parts: list[list[bytes]] = []
+        open_: list[tuple[list, list[str], list[int]]] = []
+        missing: set[str] = set()
         for t in texts:
-            odd = t and (_OTHER_SCRIPTS.search(t) or any(s in t for s in self.special))
-            whole.append(odd)
-            cut.append([] if odd or not t else self.split(t))
-        new = list({p for ps in cut for p in ps if p not in self.pieces and p not in self.pieces.old})
-        fresh = dict(zip(new, self._ids(new))) if new else {}
-        kept = self.pieces
-        out = []
-        for t, odd, ps in zip(texts, whole, cut):
-            if odd:
-                out.append(self._ids([t])[0])
-            else:
-                out.append(b"".join([fresh[p] if p in fresh else kept[p] for p in ps]) if fresh else b"".join(map(kept.__getitem__, ps)))
-        for p, b in fresh.items():
-            if len(p) <= LONG_PIECE:
-                kept.put(p, b)
-        return out
+            t = t or ""
+            latin = not self.split.beyond(t)
+            if not latin and _OTHER_SCRIPTS.search(t) or any(s in t for s in self.special):
+                parts.append(self._ids([t]))
+                continue
+            cut = self.split.latin(t) if latin else self.split.any(t)
+            ids = list(map(get, cut, repeat(b"")))
+            parts.append(ids)
+            if not all(ids):
+                holes = [i for i, x in enumerate(ids) if not x]
+                missing.update([cut[i] for i in holes])
+                open_.append((ids, cut, holes))
+        found = self._learn(missing) if missing else {}
+        for ids, cut, holes in open_:
+            for i in holes:
+                ids[i] = found[cut[i]]
+        return [b"".join(x) for x in parts]
 
 
 @functools.lru_cache(maxsize=1)
@@ -223,8 +251,9 @@ def write_ids(
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = to_arrow_type(docs.schema[id_col].dataType)
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        writer, end = None, end_id.to_bytes(4, "little")
         first, ids = None, []
         for batch in batches:
             encoder = library_encoder(path)
@@ -236,7 +265,7 @@ def write_ids(
                         out = _files.open_output(uri)
                         writer, first = Writer(out, mode, block, level), name.as_py()
                     ids.append(name.as_py())
-                    writer.add(np.append(np.frombuffer(ids_of, "<u4"), np.uint32(end_id)))
+                    writer.add(np.frombuffer(ids_of + end, "<u4"))
         if writer is not None:
             writer.close()
             out.close()
@@ -255,6 +284,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     """The documents in the files of a manifest: (id, start, n_tokens, ids); ``start`` counts the ids of all documents before."""
     kind = manifest.schema["first_id"].dataType.simpleString()
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, uri in enumerate(batch.column(0).to_pylist()):
@@ -277,4 +307,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([names, pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in held], pa.int64()), pa.array(held, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     files = manifest.select("file", "start", "names")
-    return files.repartition("file").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids binary")
+    return files.repartition(partitions(manifest.sparkSession), "file").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids binary")

@@ -35,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _files
-from ._spark import fresh_dir, written
+from . import _files, _text
+from ._spark import fresh_dir, partitions, written
 
 SHARED = 1000
 ROLL = 1 << 30
@@ -54,6 +54,7 @@ def url_key(url: str | None) -> str:
     """The sort key of a URL: host labels reversed, then path and query."""
     if not url:
         return ""
+    url = one_line(url)
     try:
         u = urlsplit(url)
         host, port = u.hostname, u.port
@@ -65,6 +66,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ("" if default else f":{port}") + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
+def one_line(url: str) -> str:
+    """A URL as a header can hold it."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record_id(page: int | None) -> str:
     return f"<urn:page:{'' if page is None else page}>"
 
@@ -81,12 +87,12 @@ def make_record(page: int | None, url: str | None, payload: bytes, digest: bytes
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + one_line(url))
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}")
     if revisit:
         head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Date: {date}"]
         if refers_url is not None:
-            head.append("WARC-Refers-To-Target-URI: " + refers_url.replace("\r", "%0D").replace("\n", "%0A"))
+            head.append("WARC-Refers-To-Target-URI: " + one_line(refers_url))
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -114,6 +120,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     same = rows.where(F.col("n") >= SHARED).groupBy("digest", "n").agg(F.count("*").alias("c"), F.max(F.struct("id", "url")).alias("to")).where("c > 1").drop("c")
     both = rows.join(same, ["digest", "n"], "left").select("id", "url", "html", F.when(F.col("id").eqNullSafe(F.col("to.id")), None).otherwise(F.col("to.id")).alias("to"), F.col("to.url").alias("to_url"))
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, at = None, "", 0
         for batch in batches:
@@ -145,6 +152,7 @@ def build_index(captures: DataFrame, folder: str | None = None, *, lines: int =
     """Write the index segments; a row for each: (file, first_key, last_key, blocks, captures)."""
     folder = folder or fresh_dir(captures.sparkSession, "cdx")
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         out, held, directory, at, total, first, last = None, [], [], 0, 0, "", ""
@@ -234,6 +242,7 @@ def read_archives(segments: DataFrame) -> DataFrame:
     and its hexadecimal SHA-1 are those of the full payload, for revisits as well."""
     index = CaptureIndex.of(segments)
 
+    @_text.freed
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
@@ -241,6 +250,7 @@ def read_archives(segments: DataFrame) -> DataFrame:
                     rows = [(r[2], r[3], r[4]) for r in _block(uri, at, size)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int64()])], ["file", "offset", "size"])
 
+    @_text.freed
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @functools.lru_cache(maxsize=16)
         def referred(url: str | None, page: int | None) -> bytes:
@@ -275,6 +285,6 @@ def read_archives(segments: DataFrame) -> DataFrame:
 
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "url", "payload", "payload_digest", "record_type", "refers_to"]
-    places = segments.select("file").repartition("file").mapInArrow(lines, "file string, offset bigint, size bigint")
+    places = segments.select("file").repartition(partitions(segments.sparkSession), "file").mapInArrow(lines, "file string, offset bigint, size bigint")
     places = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(records, "page_id bigint, url string, payload binary, payload_digest string, record_type string, refers_to bigint")

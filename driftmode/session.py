@@ -21,8 +21,16 @@ def get_session(app: str = "driftmode", master: str | None = None, shuffle_parti
     return prepare(b.getOrCreate())
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: rows may be long texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed (a no-op on a cluster that gets it by --py-files)."""
+    """Let Python workers import this package where it isn't installed (a no-op on a cluster that gets it by --py-files),
+    and bound the Arrow batches that they get."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
