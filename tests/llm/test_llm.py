@@ -297,6 +297,15 @@ def test_bands_reject_noise_and_repetition(spark):
     assert not got[0][0] and not got[1][0] and got[2] == (False, False) and got[3] == (True, False)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_bands_part_the_labelled_documents(spark, sf, size):
+    read = lambda t: spark.read.parquet(f"{sf}/../{size}/{t}.parquet")
+    both = quality_rules.score_rules(read("documents").select("doc_id", "text")).join(read("labels"), "doc_id").where("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in both.groupBy("quality", "kept").count().collect()}
+    assert n[1, True] and (1, False) not in n  # no good text is lost
+    assert n[0, False] >= 0.6 * (n[0, False] + n.get((0, True), 0))
+
+
 # --- 6: WARC ---
 
 
