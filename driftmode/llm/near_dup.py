@@ -246,7 +246,8 @@ def _settled(members: DataFrame, texts: DataFrame, similar: float, weighted: boo
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, darts: int = BAND_DARTS, weighted: bool = False, block: int = BLOCK
 ) -> DataFrame:
-    """(doc_id, class_id, node) of every row of ``docs``: class_id is the smallest id of the document's class."""
+    """(doc_id, class_id, node, root) of every row of ``docs``: class_id is the smallest id of the document's class, and
+    root is the class itself, since classes of null or repeated ids can have equal class_ids."""
     rows = written(sketches(docs, id_col, text_col, bands, darts, weighted), "sketches")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), "node")
@@ -273,15 +274,15 @@ def near_duplicates(
         roots = connected_components(links)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = written(named.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
-    classes = named.join(least, "root").select("node", "class_id")
-    return rows.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "class_id", "node")
+    classes = named.join(least, "root").select("node", "class_id", "root")
+    return rows.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "class_id", "node", "root")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, that with the smallest id, with all its columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     # of a class whose smallest id occurs with several texts, the text of the smallest digest
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("kept_node"))
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("class_id").alias("class_id"), F.min("node").alias("kept_node"))
     own, names = set_aside(docs)
     own = own.withColumn("digest", F.unhex(F.md5(F.coalesce(names[text_col], F.lit("")))))
     hit = own.join(kept, F.col(names[id_col]).eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("kept_node")))

@@ -367,6 +367,15 @@ def test_classes(docs, empty):
     assert kept.columns == docs.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.select("doc_id").collect()) == sorted({-1 if c is None else c for _, c in brute_classes(odd_texts())})
 
 
+def test_one_of_every_class_stays_whatever_the_ids(spark):
+    a, b, c, d = (prose(s, 100) for s in (21, 22, 23, 24))
+    near = a.replace(a.split()[50], "changed", 1)
+    rows = [(None, a), (None, near), (None, b), (None, b), (7, c), (7, d), (7, c), (8, d)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) in (sorted([a, b]), sorted([near, b]))
+    assert sorted(r.text for r in kept if r.doc_id is not None) == sorted([c, d]) and {r.doc_id for r in kept} == {None, 7}
+
+
 @pytest.mark.parametrize("block", [1500, 20])
 def test_a_group_of_near_copies_of_each_other(spark, block):
     rng = random.Random(9)
