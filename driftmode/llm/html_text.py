@@ -3,12 +3,16 @@
 1. A tolerant tokenizer cuts the HTML into blocks and puts each into a zone: *main* (inside an article or
    main element), *aside* (inside menus, headers, footers, sidebars, notices, adverts, forms, comments of readers,
    by element, role or class names) or *open* (neither).
-2. A page with main blocks has these as its text. The article is stated there by the page itself, so passages that it
-   shares with other pages stay.
-3. In pages without main blocks the open blocks are undecided. Per host they are token streams of a suffix array:
-   runs of at least ``RUN`` words that stand on two different pages of the host (pages of equal text are one) are boilerplate, and the
-   words they cover go (but not a few words at the edge of a block that is otherwise unique); what is left of each block, the unique runs, is the text. The array is the sparse
-   one of ``suffix_dedup``, with words salted by host, so a host with very many pages is no single task.
+2. The main blocks of a page are its text; those of a page without main blocks are the open ones.
+3. Per host the texts are token streams of a suffix array, which finds the runs of at least ``RUN`` words that stand on
+   two different pages of the host (pages of equal text are one). Windows of ``RUN`` words in such runs are boilerplate if
+   they stand on at least two pages and half the pages of the host, where near copies (``NEAR``) are one page. The words that
+   they cover go (but not a few words at the edge of a block that is otherwise unique); what is left of each block, the
+   unique runs, is the text. The array is the sparse one of ``suffix_dedup``, with words salted by host, so a host with
+   very many pages is no single task.
+4. A main block is stated to be the article by the page itself, and articles share quotes, licence lines and passages.
+   So it goes only as a whole, if boilerplate of ``MAIN_PAGES`` pages or more covers every word of it, and never if the
+   article would be left empty.
 
 Blocks have their character references decoded, white space (as in ``str.split``) joined to single spaces
 and ends trimmed; empty blocks go; blocks are joined by line breaks.
@@ -28,16 +32,24 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import written
-from .suffix_dedup import digest, find_repeats
+from .near_dup import near_duplicates
+from .suffix_dedup import _hashes, digest, find_repeats
 
 RUN = 8
 #: Words of the grams by which runs are found.
 GRAM = 4
+#: Part of a host's pages on which boilerplate stands.
+SHARE = 0.5
+#: Pages on which boilerplate inside a declared article stands.
+MAIN_PAGES = 4
+#: Similarity of near copies (of sets of 5-word shingles), and the darts of a band, fewer than for more similar ones.
+NEAR = 0.6
+NEAR_DARTS = 3
 
 # Elements and names of the HTML standard and common practice.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -156,33 +168,92 @@ def host_of(url: str | None) -> str:
         return url or ""
 
 
-_PARSED = "page_id {}, url string, main string, open string, host string, name bigint"
+_PARSED = "page_id {}, url string, text string, declared boolean, host string, name bigint"
 
 
 def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, main, open, host, name): the joined main blocks, and the joined open blocks of a page without such."""
+    """(page_id, url, text, declared, host, name): the joined main blocks, or the joined open blocks of a page without such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                mains, opens, hosts, names = [], [], [], []
+                texts, declared, hosts, names = [], [], [], []
                 for name, url, html in zip(*(c.to_pylist() for c in part.columns)):
                     main, open_ = blocks_of(html or "")
-                    mains.append("\n".join(main))
-                    opens.append("\n".join(open_) if open_ and not main else None)
+                    texts.append("\n".join(main or open_))
+                    declared.append(bool(main))
                     hosts.append(host_of(url))
-                    key = f"{name}\x00{url}\x00".encode() + (html or "").encode() if opens[-1] else b""
+                    key = f"{name}\x00{url}\x00".encode() + (html or "").encode()
                     names.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(mains, pa.string()), pa.array(opens, pa.string()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())],
-                    ["page_id", "url", "main", "open", "host", "name"],
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.bool_()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())],
+                    ["page_id", "url", "text", "declared", "host", "name"],
                 )
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, _PARSED.format(pages.schema[id_col].dataType.simpleString()))
 
 
+def _windows(repeated: DataFrame, size: int) -> DataFrame:
+    """(node, host, place, window, first) of every window of ``size`` words inside the repeated runs of a text, from (node,
+    host, text, repeats); first marks one of equal windows of a text."""
+
+    @_text.freed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _text.blocks(batch.column(2)):
+                part = batch.slice(block.first, len(block))
+                w = _text.words(block)
+                value, at = _text.windows(_hashes(w, part.column(1)), w.off, size)
+                inside = np.zeros(len(w.start) + 1, bool)
+                for begin, spans in zip(w.off, part.column(3).to_pylist()):
+                    for s in spans:
+                        inside[begin + s["start"] : begin + s["end"] - size + 1] = True
+                value, at = value[inside[at]], at[inside[at]]
+                row = np.searchsorted(w.off, at, side="right") - 1
+                order = np.lexsort((at, value, row))
+                first = np.ones(len(at), bool)
+                first[order[1:]] = (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(at - w.off[row]), pa.array(value.view(np.int64)), pa.array(first)],
+                    ["node", "host", "place", "window", "first"],
+                )
+
+    return repeated.select("node", "host", "text", "repeats").mapInArrow(run, "node binary, host string, place bigint, window bigint, first boolean")
+
+
+def _needed(n: str) -> Column:
+    return F.greatest(F.lit(2), F.ceil(F.col(n) * SHARE))
+
+
+def boilerplate(texts: DataFrame, run_words: int) -> DataFrame:
+    """(node, spans) of every text with boilerplate, from (node, host, text, name), one row for each text of a host; a
+    span has the pages that it stands on."""
+    found = find_repeats(texts, id_col="name", text_col="text", scope_col="host", distinct=True, min_words=run_words, anchor=GRAM).select("node", "repeats")
+    windows = written(_windows(texts.join(found, "node"), run_words), "windows")
+    hosts = written(texts.groupBy("host").agg(F.count("*").alias("n_pages")), "hosts")
+    common = windows.where("first").groupBy("host", "window").agg(F.count("*").alias("n")).join(hosts, "host").where(F.col("n") >= _needed("n_pages"))
+    hit = written(windows.join(written(common.select("window"), "common"), "window"), "hit")
+    # near copies are one page: their shared text isn't boilerplate for being on all of them
+    some = written(texts.join(hit.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("page"), "host", "text"), "some")
+    if some.isEmpty():
+        return texts.select("node").limit(0).withColumn("spans", F.array().cast(_SPANS))
+    classes = near_duplicates(some, id_col="page", text_col="text", similar=NEAR, darts=NEAR_DARTS).select(F.col("page").alias("node"), "root")
+    classes = written(some.select(F.col("page").alias("node"), "host").join(classes, "node"), "classes")
+    # (a host's window and class are one row before they are counted, so no task holds a window's pages)
+    support = hit.where("first").join(classes.select("node", "root"), "node").select("host", "window", "root").distinct().groupBy("host", "window").agg(F.count("*").alias("pages"))
+    fewer = classes.groupBy("host").agg((F.count("*") - F.countDistinct("root")).alias("copies"))
+    rest = hosts.join(fewer, "host").select("host", (F.col("n_pages") - F.col("copies")).alias("n_pages"))
+    sure = written(support.join(rest, "host").where(F.col("pages") >= _needed("n_pages")).select("window", "pages"), "boilerplate")
+    span = F.struct(F.col("place").alias("start"), (F.col("place") + run_words).alias("end"), "pages")
+    return hit.join(sure, "window").groupBy("node").agg(F.collect_list(span).alias("spans"))
+
+
+_SPANS = "array<struct<start:bigint,end:bigint,pages:bigint>>"
+
+
 def without_words(text: str, spans: list[dict], run_words: int) -> str:
     """The blocks of a text without the words of the spans; emptied blocks go. Of a run that reaches into a block by
     fewer than ``run_words`` words and doesn't cover it, these words stay."""
@@ -205,21 +276,35 @@ def without_words(text: str, spans: list[dict], run_words: int) -> str:
     return b"\n".join(x for x in out if x).decode()
 
 
+def without_blocks(text: str, spans: list[dict]) -> str:
+    """A declared article without the blocks that boilerplate covers from end to end; all of it if no other is left."""
+    covered = {k for s in spans if s["pages"] >= MAIN_PAGES for k in range(s["start"], s["end"])}
+    at, left = 0, []
+    block = next(_text.blocks(pa.array([text], pa.string())))
+    w = _text.words(block)
+    ends = np.searchsorted(w.start, np.append(np.flatnonzero(w.buf == 0x0A), len(w.buf)))
+    for one, end in zip(text.split("\n"), ends.tolist()):
+        if end == at or not covered.issuperset(range(at, end)):
+            left.append(one)
+        at = end
+    return "\n".join(left) or text
+
+
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run_words: int = RUN) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     parsed = written(parse_pages(pages, id_col, url_col, html_col), "parsed")
-    decided = parsed.select("page_id", "url", F.when(F.col("open").isNull(), F.col("main")).alias("text"), "name")
-    undecided = parsed.where(F.col("open").isNotNull()).select("page_id", "url", "open", "host", "name")
-    done = decided.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    if not undecided.isEmpty():
-        found = find_repeats(undecided, id_col="name", text_col="open", scope_col="host", distinct=True, min_words=run_words, anchor=GRAM).select("node", "repeats")
-        both = undecided.join(found, digest("open", "host") == F.col("node"), "left").select("page_id", "url", "open", "repeats")
-        kind = parsed.schema["page_id"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [without_words(t, s, run_words) if s else t for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-        done = done.unionByName(both.mapInArrow(run, f"page_id {kind}, url string, text string"))
+    texts = parsed.where("text <> ''").groupBy(digest("text", "host").alias("node")).agg(F.min("name").alias("name"))
+    own = parsed.where("text <> ''").select(digest("text", "host").alias("_node"), F.col("name").alias("_name"), "host", "text")
+    texts = own.join(texts, (F.col("node") == F.col("_node")) & (F.col("name") == F.col("_name"))).select("node", "name", "host", "text")
+    found = boilerplate(written(texts.dropDuplicates(["node"]), "texts"), run_words)
+    both = parsed.join(found, digest("text", "host") == F.col("node"), "left").select("page_id", "url", "text", "declared", "spans")
+    kind = parsed.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+            texts = [t if not s else without_blocks(t, s) if declared else without_words(t, s, run_words) for t, declared, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    done = both.mapInArrow(run, f"page_id {kind}, url string, text string")
     return done.withColumn("n_chars", F.length("text").cast("bigint"))

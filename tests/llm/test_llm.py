@@ -493,6 +493,17 @@ def test_boilerplate_of_a_host_goes(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_notices_inside_articles_go_and_shared_passages_stay(spark):
+    notice = "Support our newsroom with a small monthly gift and read on without any limits"
+    shared = "a licence line of many words that two of the articles on this host both have"
+    story = lambda i: f"<p>{prose(100 + i, 40)}</p>" + (f"<p>{shared}</p>" if i < 2 else "")
+    rows = [(i, f"http://a.com/{i}", f"<article>{story(i)}<p>{notice}</p></article>") for i in range(6)]
+    rows += [(9, "http://a.com/9", f"<article><p>{notice}</p></article>"), (10, "http://b.com/1", f"<article>{story(0)}</article>"), (11, "http://b.com/2", f"<article>{story(1)}</article>")]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(notice not in got[i] and " ".join(prose(100 + i, 40).split()) in got[i] for i in range(6))
+    assert all(shared in got[i] for i in (0, 1, 10, 11)) and got[9] == notice
+
+
 # --- 10: token files ---
 
 
