@@ -504,6 +504,15 @@ def test_notices_inside_articles_go_and_shared_passages_stay(spark):
     assert all(shared in got[i] for i in (0, 1, 10, 11)) and got[9] == notice
 
 
+def test_near_copies_without_markup_keep_their_text(spark):
+    text, quote = prose(50, 200), "a quote of ten words that a few of the pages have in common"
+    rows = [(i, f"http://a.com/?ref={i}", f"<p>Printed on day {i} of May</p><p>{text}</p>") for i in range(2)]
+    rows += [(10 + i, f"http://b.com/{i}", f"<p>{prose(60 + i, 80)}</p>" + (f"<p>{quote}</p>" if i < 3 else "")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Printed on day {i} of May\n{' '.join(text.split())}" for i in range(2))
+    assert all(quote in got[10 + i] for i in range(3))
+
+
 # --- 10: token files ---
 
 
