@@ -8,8 +8,8 @@ bytes / compressed bytes.
 The fixed rules of the base (few words, repeated 3-word windows) reject on their own; word counts use
 runs of characters other than white space (0x20, 0x09-0x0D).
 
-Defined results: null text counts as empty; a text of fewer than 50 words always fails the base; chunks
-of fewer than half the chunk size have no verdict of their own; other columns are
+Defined results: null text counts as empty; a text of fewer than 50 words always fails the base; the last
+chunk of a text longer than one is its last ``CHUNK`` bytes and overlaps the one before; other columns are
 passed on, but one named like an added column gives way to it.
 """
 
@@ -35,7 +35,7 @@ LEVEL = 3
 #: Fitted to the documents of sf0.1 that pass the base rules (3243 labelled quality 1, 291 labelled 0): greatest ratio
 #: = that of label 1 and about 0.03, least ratio = that of label 1 less about 0.05. From 8192 bytes on few are labelled
 #: (167) and none with label 0 lies below, so the least ratio is that of 4096 to 8192 bytes; from 65536 bytes on none is
-#: labelled, so the limits are wide there and the chunks decide. Chunks of label 1: 1.99 to 2.26, of label 0 up to 2.52.
+#: labelled, so the limits are wide there and the chunks decide. Chunks of label 1: 2.07 to 2.26, of label 0 up to 2.59.
 BANDS = (
     (512, 1.33, 1.87),
     (768, 1.42, 1.93),
@@ -124,10 +124,10 @@ def ratios(text: bytes, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK
     if not text:
         return 1.0, 1.0, 1.0
     whole = len(text) / len(compressor.compress(text))
-    if len(text) < chunk * 3 // 2:
+    if len(text) <= chunk:
         return whole, whole, whole
-    parts = [text[i : i + chunk] for i in range(0, len(text), chunk)]
-    each = [len(p) / len(compressor.compress(p)) for p in parts if 2 * len(p) >= chunk]
+    parts = [text[i : i + chunk] for i in (*range(0, len(text) - chunk, chunk), len(text) - chunk)]
+    each = [len(p) / len(compressor.compress(p)) for p in parts]
     return whole, min(each), max(each)
 
 
@@ -148,7 +148,7 @@ def score_rules(docs: DataFrame, *, text_col: str = "text", bands=BANDS, chunk_b
                 r = np.array([ratios(block.text(i), z, chunk) for i in range(len(block))])
                 band = np.array([band_of(n, bands) for n in np.diff(block.off)])
                 fits = (r[:, 0] >= band[:, 0]) & (r[:, 0] <= band[:, 1])
-                chunked = np.diff(block.off) >= chunk * 3 // 2
+                chunked = np.diff(block.off) > chunk
                 fits &= ~chunked | ((r[:, 1] >= chunk_band[0]) & (r[:, 2] <= chunk_band[1]))
                 out |= {"base_failed": failed, "ratio": r[:, 0], "chunk_ratio_min": r[:, 1], "chunk_ratio_max": r[:, 2], "kept": ~failed & fits}
                 own = batch.slice(block.first, len(block))

@@ -306,6 +306,14 @@ def test_bands_part_the_labelled_documents(spark, sf, size):
     assert n[0, False] >= 0.6 * (n[0, False] + n.get((0, True), 0))
 
 
+def test_tails_are_judged(spark):
+    body = prose(31, 8000)[: 7 * 4096 + 300]
+    rows = [body + " same words again" * 80, body, prose(32, 3000)[:5000], prose(32, 3000)[:4096]]
+    got = quality_rules.score_rules(spark.createDataFrame(enumerate(rows), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.base_failed, r.kept) for r in got[:2]] == [(False, False), (False, True)]
+    assert got[2].ratio != got[2].chunk_ratio_max and got[3].ratio == got[3].chunk_ratio_max
+
+
 # --- 6: WARC ---
 
 
