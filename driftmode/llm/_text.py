@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call takes; a longer single text makes a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -52,6 +53,17 @@ def release() -> None:
         pass  # another C library
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about ``limit`` bytes in a text or binary column (or one row)."""
+    arr = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (wraps around)."""
     x = (x ^ (x >> _S32)) * _C1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def tokenizer_file(name: str) -> str:
-    """Where the public tokenizer files are; set DRIFTMODE_TOKENIZERS to use another folder."""
-    return f"{os.environ.get('DRIFTMODE_TOKENIZERS', '/opt/tokenizers')}/{name}"
+    """Where a public tokenizer file is."""
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +52,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
-    from .bpe import decode_documents, encode_documents
+    from .bpe import encode_documents
 
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    ids = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    both = decode_documents(ids, path)
+    both = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -4,18 +4,22 @@ A file holds the ids of consecutive documents, cut into blocks of ``BLOCK`` ids.
 into planes: four byte planes, or 32 bit planes (plane ``k`` has bit ``k`` of every id), and each plane is
 one zstandard frame. Planes that are all zero take no bytes. Layout, integers little-endian:
 
-    "PLN1"  mode u8 (1 byte planes, 2 bit planes)  3 zero bytes
+    "PLN2"  mode u8 (1 byte planes, 2 bit planes)  3 zero bytes
     planes of block 0, planes of block 1, ...
     lengths of the documents, u64 each, as one zstandard frame
+    ids of the documents, an Arrow stream of one column, as one zstandard frame
     chunk index, a row for each block: offset u64, ids u64, crc32 u32, size of every plane u32
-    footer: lengths offset u64, lengths size u64, documents u64, blocks u64, ids u64, "PLN1"
+    footer: lengths offset u64, lengths size u64, names size u64, documents u64, blocks u64, ids u64, "PLN2"
 
 So the footer leads to the index, and the index to any id without reading what stands before it.
 
-``write_ids`` writes a table as files in ascending order of the id column, one for each task: rows are
-range-partitioned, and a hot range is no matter since ids are distinct rows. Its result is the manifest.
-``read_ids`` reads the files back. Null texts have the end id only; null document ids come first;
-an empty table makes no file and an empty result.
+``write_ids`` writes a table as files in ascending order of the id column (then of the text's hash): rows are
+range-partitioned by both, so a repeated or null id makes no large task, and a file is closed after ``FILE_IDS`` ids.
+Its result is the manifest, a row for each file. ``read_ids`` reads the files back, a file for each task at least.
+
+Defined results: null and empty texts have the end id only; texts of any length are encoded whole, a single one in
+memory at a time; rows with the same id, or a null one (these come first), are documents of their own; the end id may
+also occur inside a text; columns other than id and text aren't read; an empty table makes no file and an empty result.
 """
 
 from __future__ import annotations
@@ -36,15 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _files, _text
-from ._spark import fresh_dir, partitions, written
-from .bpe import LONG_PIECE, Remembered, Splitter
+from ._spark import fresh_dir, written
+from .bpe import LONG_PIECE, Classes, Remembered, Splitter, by_length, library_classes
 
 BLOCK = 1 << 16
 LEVEL = 3
-#: Pieces in each of the two generations of a worker's memo.
-REMEMBER = 320_000
-_MAGIC = b"PLN1"
-_FOOT = struct.Struct("<QQQQQ4s")
+#: Ids after which a new file is begun.
+FILE_IDS = 1 << 26
+#: Bytes, about, of a worker's memo of pieces; it goes when its task ends.
+PIECE_BYTES = 48 << 20
+#: Bytes of texts that are encoded at once.
+_AT_ONCE = 2 << 20
+_MAGIC = b"PLN2"
+_FOOT = struct.Struct("<QQQQQQ4s")
 BYTE, BIT = 1, 2
 
 
@@ -82,6 +90,7 @@ class Writer:
         self.held: list[np.ndarray] = []
         self.n_held = self.total = 0
         self.lengths: list[int] = []
+        self.names: list[pa.Array] = []
         self.index: list[bytes] = []
         self._put(_MAGIC + bytes((mode, 0, 0, 0)))
 
@@ -110,14 +119,25 @@ class Writer:
             self._put(frame)
         self.index.append(struct.pack(f"<QQI{len(sizes)}I", start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *sizes))
 
+    def name(self, names: pa.Array) -> None:
+        """The ids of the documents added since."""
+        self.names.append(names)
+
     def close(self) -> None:
         if self.n_held:
             self._flush(np.concatenate(self.held))
         start = self.at
         self._put(self.z.compress(np.array(self.lengths, "<u8").tobytes()))
         size = self.at - start
+        sink = pa.BufferOutputStream()
+        if self.names:
+            with pa.ipc.new_stream(sink, pa.schema([("id", self.names[0].type)])) as stream:
+                for x in self.names:
+                    stream.write_batch(pa.RecordBatch.from_arrays([x], ["id"]))
+        self._put(self.z.compress(sink.getvalue().to_pybytes()) if self.names else b"")
+        names = self.at - start - size
         self._put(b"".join(self.index))
-        self._put(_FOOT.pack(start, size, len(self.lengths), len(self.index), self.total, _MAGIC))
+        self._put(_FOOT.pack(start, size, names, len(self.lengths), len(self.index), self.total, _MAGIC))
 
 
 class Reader:
@@ -126,17 +146,23 @@ class Reader:
     def __init__(self, uri: str):
         self.uri = uri
         end = _files.size_of(uri)
-        at, size, self.documents, blocks, self.total, magic = _FOOT.unpack(_files.read_range(uri, end - _FOOT.size, _FOOT.size))
+        at, size, named, self.documents, blocks, self.total, magic = _FOOT.unpack(_files.read_range(uri, end - _FOOT.size, _FOOT.size))
         if magic != _MAGIC:
             raise ValueError(f"not a plane file: {uri}")
         self.mode = _files.read_range(uri, 4, 1)[0]
         self.z = zstandard.ZstdDecompressor()
         self.lengths = np.frombuffer(self.z.decompress(_files.read_range(uri, at, size)), "<u8").astype(np.int64)
+        self._names = (at + size, named)
         planes = 4 if self.mode == BYTE else 32
         row = struct.Struct(f"<QQI{planes}I")
-        self.blocks = list(row.iter_unpack(_files.read_range(uri, at + size, blocks * row.size)))
+        self.blocks = list(row.iter_unpack(_files.read_range(uri, at + size + named, blocks * row.size)))
         self.starts = np.cumsum([0, *(b[1] for b in self.blocks)])
 
+    def names(self) -> pa.Array | None:
+        """The ids of the documents, if the file has them."""
+        at, size = self._names
+        return pa.ipc.open_stream(self.z.decompress(_files.read_range(self.uri, at, size))).read_all().column(0).combine_chunks() if size else None
+
     def block(self, k: int) -> np.ndarray:
         at, n, crc, *sizes = self.blocks[k]
         data, pos, planes = _files.read_range(self.uri, at, sum(sizes)), 0, []
@@ -177,14 +203,14 @@ class LibraryEncoder:
     """The tokenizers library behind a memo of pieces. The vocabulary's pre-tokenizer cuts texts by PATTERN and
     encodes the pieces alone, so a piece's ids are the same in every text; the library encodes the new ones in a batch."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Classes | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = Splitter()
-        self.pieces = Remembered(lambda p: self._ids([p])[0], REMEMBER)
+        self.split = Splitter(classes=classes)
+        self.pieces = Remembered(lambda p: self._ids([p])[0], PIECE_BYTES, by_length)
         words = self.tokenizer.get_vocab()
         self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of a token: it is written with one character for each
         self.size[list(words.values())] = [len(w) for w in words]
@@ -237,12 +263,12 @@ class LibraryEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, classes: Classes | None = None) -> LibraryEncoder:
+    return LibraryEncoder(path, classes)
 
 
 def write_ids(
-    docs: DataFrame, path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mode: int = BYTE, block: int = BLOCK, level: int = LEVEL
+    docs: DataFrame, path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, mode: int = BYTE, block: int = BLOCK, level: int = LEVEL, file_ids: int = FILE_IDS
 ) -> DataFrame:
     """Encode the texts by the library and write files in ascending order of ``id_col``; the manifest as a table:
     (file, number, first_id, documents, ids, start), ``start`` being the ids in all files before."""
@@ -250,53 +276,61 @@ def write_ids(
     folder = folder or fresh_dir(spark, "token-files")
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = to_arrow_type(docs.schema[id_col].dataType)
+    classes = library_classes()
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, end = None, end_id.to_bytes(4, "little")
-        first, ids = None, []
+        encoder, writer, end, number = library_encoder(path, classes), None, end_id.to_bytes(4, "little"), 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [uri], "first_id": first, "nth": pa.array([number], pa.int64()), "documents": [len(writer.lengths)], "ids": [writer.total]})
+
         for batch in batches:
-            encoder = library_encoder(path)
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                for name, ids_of in zip(part.column(0), encoder.encode(part.column(1).to_pylist())):
-                    if writer is None:
-                        uri = _files.new_name(folder, "ids", ".pln")
-                        out = _files.open_output(uri)
-                        writer, first = Writer(out, mode, block, level), name.as_py()
-                    ids.append(name.as_py())
+            for part in _text.parts(batch, 1, _AT_ONCE):
+                if writer is None:
+                    uri = _files.new_name(folder, "ids", ".pln")
+                    out = _files.open_output(uri)
+                    writer, first = Writer(out, mode, block, level), part.column(0).slice(0, 1)
+                writer.name(part.column(0))
+                for ids_of in encoder.encode(part.column(1).to_pylist()):
                     writer.add(np.frombuffer(ids_of + end, "<u4"))
+                if writer.total >= file_ids:
+                    yield closed()
+                    writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [uri], "first_id": pa.array([first], id_type), "documents": [len(writer.lengths)], "ids": [writer.total], "names": pa.array([ids], pa.list_(id_type))})
+            yield closed()
+        encoder.pieces.forget()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sorted_rows = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    made = written(sorted_rows.mapInArrow(run, f"file string, first_id {kind}, documents bigint, ids bigint, names array<{kind}>"), "manifest")
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "file")  # a row for each file
-    numbered = made.select("file", "first_id", "documents", "ids").withColumn("number", F.row_number().over(order))
-    numbered = numbered.withColumn("start", F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(made.select("file", "names"), "file")
+    # (a task's number, and a file's within its task, order the files; a batch has rows of one task)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    sorted_rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    made = sorted_rows.mapInArrow(run, f"file string, first_id {kind}, nth bigint, documents bigint, ids bigint")
+    made = written(made.withColumn("task", F.spark_partition_id()), "manifest")
+    order = Window.orderBy("task", "nth")  # a row for each file
+    numbered = made.select("file", "first_id", "documents", "ids", F.row_number().over(order).alias("number"), F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
+    return numbered.withColumn("start", F.coalesce("start", F.lit(0)))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """The documents in the files of a manifest: (id, start, n_tokens, ids); ``start`` counts the ids of all documents before."""
     kind = manifest.schema["first_id"].dataType.simpleString()
+    files = manifest.count()
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, uri in enumerate(batch.column(0).to_pylist()):
-                reader, at = Reader(uri), batch.column(1)[i].as_py()
-                names = batch.column(2).slice(i, 1).flatten()
+            for uri, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reader = Reader(uri)
+                names = reader.names()
                 held, starts, size, done = [], [], 0, 0
                 for ids in reader.texts():
                     held.append(ids.tobytes())
                     starts.append(at)
                     at += len(ids)
                     size += len(held[-1])
-                    if size >= 4 << 20:
+                    if size >= 2 << 20:
                         yield rows(names.slice(done, len(held)), starts, held)
                         done += len(held)
                         held, starts, size = [], [], 0
@@ -306,5 +340,5 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     def rows(names: pa.Array, starts: list[int], held: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([names, pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in held], pa.int64()), pa.array(held, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    files = manifest.select("file", "start", "names")
-    return files.repartition(partitions(manifest.sparkSession), "file").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids binary")
+    # a given number of partitions is not coalesced: the rows are small, the files they name are not
+    return manifest.select("file", "start").repartition(max(1, files)).mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids binary")

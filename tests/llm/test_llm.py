@@ -177,6 +177,29 @@ def test_a_small_edit_encodes_little(tokenizers):
     assert token_counts.edit(text, token_counts.build(text, c), 60000, 60003, "new", c)[2] < 2000
 
 
+def test_an_edit_touches_one_path_of_sums(tokenizers):
+    c = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    text = prose(1, 20000)
+    tree = token_counts.build(text, c)
+    for new in ("new", "two words", "", "a few more words than before, and a comma"):  # also where the number of pieces changes
+        before, tree.touched = tree.sums.copy(), 0
+        text, tree, _ = token_counts.edit(text, tree, 60000, 60003, new, c)
+        assert tree.width >= 256 and tree.touched <= 3 * (tree.width.bit_length() + 1) and (tree.sums != before).any(axis=0).sum() <= tree.touched
+        assert tree.tokens == c.count(text)
+    for _ in range(3):  # an insertion that fills its segments
+        text, tree, _ = token_counts.edit(text, tree, 500, 500, prose(2, 300), c)
+        assert tree.tokens == c.count(text) and tree.chars == len(text)
+
+
+def test_every_character_counts_as_in_the_library(tokenizers):
+    c = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    for k in range(0, 0x33000, 1 << 14):
+        text = "".join(f"a{x} {x}{x} 1{x}" for x in map(chr, EVERY[k : k + (1 << 14) : 5]))
+        tree = token_counts.build(text, c)
+        assert tree.tokens == c.count(text)
+        c.pieces.forget()
+
+
 def test_edit_table(docs, empty, tokenizers):
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     trees = token_counts.build_trees(docs, path)
@@ -208,6 +231,31 @@ def test_encoding_equals_the_library(docs, empty, tokenizers):
         assert np.frombuffer(v.encode(text), "<u4").tolist() == library.encode_ordinary(text)
     for text in ("a" * 4000, "ab" * 2000 + "\n" * 3000, "<|endoftext|>"):
         assert np.frombuffer(v.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    both = bpe.encode_documents(docs, path, decoded_col="decoded").collect()
+    assert counted((bytes(r.ids), bytes(r.decoded)) for r in both) == counted((bytes(r.ids), bytes(r.decoded)) for r in out)
+
+
+EVERY = [*range(0xD800), *range(0xE000, 0x110000)]
+
+
+def test_every_character_is_split_as_the_library_does(tokenizers):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 256, b"'s": 257, b"  ": 258, b" 1": 259}
+    library = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    v = bpe.Vocabulary(ranks)
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    real, whole = bpe.vocabulary(path, bpe.PATTERN, bpe.library_classes()), tiktoken.Encoding("r", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for k in range(0, len(EVERY), 1 << 14):
+        text = "".join(f"a{c}'s" for c in map(chr, EVERY[k : k + (1 << 14)]))  # cut otherwise for a letter, a digit, a space, another one
+        assert np.frombuffer(v.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+        v.forget()
+    for k in range(0, 0x33000, 1 << 14):
+        some = list(map(chr, EVERY[k : k + (1 << 14) : 9]))
+        text = "".join(f"a{c}b {c}{c} 1{c} {c}\n{c}'s" for c in some)
+        assert np.frombuffer(v.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+        text = "".join(f"a{c} {c}1" for c in some)
+        assert np.frombuffer(real.encode(text), "<u4").tolist() == whole.encode_ordinary(text)
+        real.forget()
 
 
 def test_backtracking_equals_merging_in_a_small_vocabulary():
@@ -223,9 +271,11 @@ def test_backtracking_equals_merging_in_a_small_vocabulary():
 
 def test_memory_of_pieces_is_bounded():
     made = []
-    memo = bpe.Remembered(lambda k: made.append(k) or k * 2, limit=10)
+    memo = bpe.Remembered(lambda k: made.append(k) or k * 2, 1000, lambda k, v: 50)
     assert [memo[i % 25] for i in range(1000)] == [2 * (i % 25) for i in range(1000)]
     assert len(memo) <= 10 and len(memo.old) <= 10
+    memo.forget()
+    assert not memo and not memo.old and not memo.held
 
 
 # --- 4: quality model ---
