@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmode.llm._spark import written
-from driftmode.llm.bpe import decode_documents, encode_documents
+from driftmode.llm.bpe import encode_documents
 from driftmode.llm.decontaminate import remove_contaminated
 from driftmode.llm.near_dup import keep_one
 from driftmode.llm.quality_rules import keep_good
@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (binary, little-endian unsigned 32-bit) of every text; ``round_trip`` says that they decode to it."""
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    both = decode_documents(encode_documents(_ready(spark, docs), path), path)
+    both = encode_documents(_ready(spark, docs), path, decoded_col="decoded")
     same = F.decode("decoded", "UTF-8") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", same.alias("round_trip"))
 
