@@ -14,21 +14,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 MAX_ROUNDS = 60
 
 
 def _saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: a table in the shared checkpoint folder, or a reliable checkpoint if a folder is set on the context only."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="driftmode-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Cut lineage: a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,8 +22,10 @@ def get_session(app: str = "driftmode", master: str | None = None, shuffle_parti
     return prepare(b.getOrCreate())
 
 
+#: Settings of the C library by which Python workers, which outlive their tasks, give freed memory back.
+ALLOCATOR = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 #: Rows and bytes of an Arrow batch where the session has Spark's defaults: rows may be long texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,7 +35,23 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
     env = spark.sparkContext.environment
+    for key, value in ALLOCATOR.items():
+        if key not in env and key not in os.environ:
+            env[key] = value
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or the one set on the context. Where neither is set and all runs on one
+    machine (local mode, as in tests), one is made; on a cluster that is an error, for executors share no local folder."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="driftmode-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
