@@ -488,14 +488,14 @@ def test_fm_index():
 
 
 def test_contamination(docs, empty, spark, monkeypatch):
-    items = [(1, prose(3, 70)[:200]), (2, "two words"), (3, None), (4, "..."), (5, prose(8, 6000)[20000:20400]), (10, prose(3, 70)[:200]), (6, "words two")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [(1, prose(3, 70)[:200]), (2, "two words"), (3, None), (4, "..."), (5, prose(8, 6000)[20000:20400]), (10, prose(3, 70)[:200]), (6, "words two"), (None, "unnamed \x1f odd"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
     windows = collections.defaultdict(set)
     for i, t in items:
         w = ALNUM.findall((t or "").translate(LOWER))
         m = min(13, len(w))
         for k in range(len(w) - m + 1 if w else 0):
-            windows[tuple(w[k : k + m])].add(str(i))
+            windows[tuple(w[k : k + m])].update([str(i)] if i is not None else [])
 
     def brute(text):
         w, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
@@ -508,7 +508,7 @@ def test_contamination(docs, empty, spark, monkeypatch):
 
     for limit in (decontaminate.BENCH_BLOCK, 10):
         monkeypatch.setattr(decontaminate, "BENCH_BLOCK", limit)
-        out = decontaminate.find_contamination(docs, bench).collect()
+        out = decontaminate.find_contamination(docs, bench, group=limit * 100).collect()
         assert len(out) == docs.count()
         for r in out:
             assert (r.n_words, r.n_hit, r["items"], r.contaminated) == brute(r.text)
