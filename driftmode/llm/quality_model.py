@@ -7,10 +7,12 @@ strongest pairs of features then get tables of their own on the residuals, in th
 text's score is the logistic of the intercept plus one entry of each table, so scoring is array lookups
 and additions.
 
-The fit uses at most ``MAX_ROWS`` labelled rows, those of the least hash of their id; features are
-computed for all documents by their partitions, and only these rows' features reach the driver.
+The fit uses at most ``MAX_ROWS`` labelled rows, those of the least hash of their id (rows beyond are cut off by a threshold
+before anything is sorted); features are computed for all documents by their partitions, and only these rows'
+features reach the driver.
 
-Defined results: null text counts as empty and has a score; an id that is labelled twice counts twice; null labels
+Defined results: null text counts as empty and has a score; texts of any length are scored whole; repeated documents
+have equal scores; an empty table gives an empty result; an id that is labelled twice counts twice; null labels
 are left out; without labels, or with one class only, the score is the smoothed share of label 1; other columns are passed on, but one named
 like an added column gives way to it.
 """
@@ -228,7 +230,13 @@ def train(featured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lab
     """Fit on labelled rows that are not held out, at most ``max_rows`` of them (a bounded sample, by hash of the id)."""
     known = labels.where(F.col(label_col).isNotNull()).where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     both = known.join(featured.select(F.col(id_col).alias("id"), F.col(features_col).alias("x")), "id")
-    rows = both.orderBy(F.xxhash64("id"), "id", "y", "x").limit(max_rows).select("y", "x").toArrow()
+    # (the hash cuts off all rows but a few more than are wanted, so no task sorts more than these)
+    both = both.withColumn("h", F.xxhash64("id"))
+    n = known.count()
+    if n > max_rows:
+        share = (max_rows + 10 * max_rows**0.5) / n
+        both = both.where(F.col("h") < int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1024)))
+    rows = both.orderBy("h", "id", "y", "x").limit(max_rows).select("y", "x").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(FEATURES))
     return fit(x, y)

@@ -8,7 +8,8 @@ bytes / compressed bytes.
 The fixed rules of the base (few words, repeated 3-word windows) reject on their own; word counts use
 runs of characters other than white space (0x20, 0x09-0x0D).
 
-Defined results: null text counts as empty; a text of fewer than 50 words always fails the base; the last
+Defined results: null text counts as empty; texts of any length are judged whole; repeated rows and null ids are rows of
+their own; an empty table gives an empty result; a text of fewer than 50 words always fails the base; the last
 chunk of a text longer than one is its last ``CHUNK`` bytes and overlaps the one before; other columns are
 passed on, but one named like an added column gives way to it.
 """

@@ -6,15 +6,17 @@ largest id is a response and the others are revisits that refer to it. Duplicate
 length) alone: sizes and the largest id are combined before the shuffle, and the join that hands them
 back is one that adaptive execution splits if a payload is very common.
 
-``build_index`` sorts the captures by reversed-host key ("com,example)/path") and writes them as
-segments: blocks of ``LINES`` lines, each a zstandard frame, and at the end a sparse directory with the first key of
-each block. ``CaptureIndex`` finds captures by binary search over segments, then over a directory, and
-reads one block by its range. ``read_archives`` goes through the index: ranges of neighbouring records are
-fetched in one read, and a revisit's payload is that of the record it refers to, found by its key.
-
-Defined results: a null payload is empty, a null URL has the empty key; malformed URLs are keys as they
-are, lowered; rows with the same id, payload and URL are records of their own; if all ids of equal payloads
-are null, all are responses; an empty table makes no file and an empty result.
+``build_index`` sorts the captures by reversed-host key ("com,example)/path") and page, and writes them as
+segments: blocks of ``LINES`` lines, each a zstandard frame, and at the end a sparse directory with the first key and
+page of each block. ``CaptureIndex`` finds captures by binary search over segments, then over a directory, and
+reads one block by its range; a page of a key with very many captures is found in the same way. ``read_archives`` goes
+through the index: records are dealt out to tasks of ``READ`` bytes of archive, ranges of neighbouring records are
+fetched in one read, and a revisit's payload is that of the record it refers to, found by its key and page.
+
+Defined results: ids are integers or text; a null payload is empty, a null URL has the empty key; malformed URLs are keys
+as they are, lowered; payloads of any length are one record, and one record is in memory at a time; rows with the same
+id, payload and URL are records of their own; if all ids of equal payloads are null, all are responses; columns other than
+id, URL and payload aren't written; an empty table makes no file and an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _files, _text
 from ._spark import fresh_dir, partitions, written
@@ -43,6 +46,8 @@ ROLL = 1 << 30
 LINES = 512
 #: Bytes that one range read fetches at most when records lie next to each other.
 FETCH = 4 << 20
+#: Bytes of archives that one task reads, about.
+READ = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _TAIL = "<QQQ4s"
@@ -71,16 +76,25 @@ def one_line(url: str) -> str:
     return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+Page = int | str | None
 
 
-def page_of(name: str) -> int | None:
+def record_id(page: Page) -> str:
+    """The name of a page's record; null and the empty text have names of their own."""
+    return f"<urn:page:{'' if page is None else page if isinstance(page, int) else "'" + quote(page, safe='')}>"
+
+
+def page_of(name: str) -> Page:
     tail = name.removeprefix("<urn:page:").removesuffix(">")
-    return int(tail) if tail else None
+    return unquote(tail[1:]) if tail.startswith("'") else int(tail) if tail else None
+
 
+def place_of(key: str, page: Page) -> tuple:
+    """Where a capture stands in the order of the index: null pages come first."""
+    return (key, page is not None, page) if page is not None else (key, False, 0)
 
-def make_record(page: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+
+def make_record(page: Page, url: str | None, payload: bytes, digest: bytes, refers_to: Page, refers_url: str | None, date: str) -> bytes:
     """A WARC/1.1 record. ``refers_to`` makes it a revisit without payload."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -108,14 +122,19 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-_CAPTURE = "key string, page_id bigint, file string, offset bigint, size bigint, kind string"
+_CAPTURE = "key string, page_id {}, file string, offset bigint, size bigint, kind string"
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
+def _id_type(kind: T.DataType) -> tuple[str, pa.DataType]:
+    return ("bigint", pa.int64()) if isinstance(kind, T.IntegralType) else ("string", pa.string())
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, roll: int = ROLL) -> DataFrame:
     """Write the archives; their captures as a table: (key, page_id, file, offset, size, kind)."""
     folder = folder or fresh_dir(pages.sparkSession, "warc")
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    kind, id_type = _id_type(pages.schema[id_col].dataType)
+    rows = pages.select(F.col(id_col).cast(kind).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("n", F.octet_length("html")).withColumn("digest", F.sha1("html"))
     same = rows.where(F.col("n") >= SHARED).groupBy("digest", "n").agg(F.count("*").alias("c"), F.max(F.struct("id", "url")).alias("to")).where("c > 1").drop("c")
     both = rows.join(same, ["digest", "n"], "left").select("id", "url", "html", F.when(F.col("id").eqNullSafe(F.col("to.id")), None).otherwise(F.col("to.id")).alias("to"), F.col("to.url").alias("to_url"))
@@ -124,9 +143,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, at = None, "", 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
+            for part in _text.parts(batch, 2, FETCH):
                 found = []
-                for row in batch.slice(k, 256).to_pylist():
+                for row in part.to_pylist():
                     if out is None:
                         uri, at = _files.new_name(folder, "pages", ".warc.gz"), 0
                         out = _files.open_output(uri)
@@ -141,27 +160,28 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
                         out.close()
                         out = None
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()])], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.string(), id_type, pa.string(), pa.int64(), pa.int64(), pa.string()])], _NAMES)
         if out is not None:
             out.close()
 
-    return written(both.mapInArrow(run, _CAPTURE), "captures")
+    return written(both.mapInArrow(run, _CAPTURE.format(kind)), "captures")
 
 
 def build_index(captures: DataFrame, folder: str | None = None, *, lines: int = LINES) -> DataFrame:
-    """Write the index segments; a row for each: (file, first_key, last_key, blocks, captures)."""
+    """Write the index segments; a row for each: (file, first_key, first_page, last_key, last_page, blocks, captures, bytes)."""
     folder = folder or fresh_dir(captures.sparkSession, "cdx")
+    kind, id_type = _id_type(captures.schema["page_id"].dataType)
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        out, held, directory, at, total, first, last = None, [], [], 0, 0, "", ""
+        out, held, directory, at, total, stored, first, last = None, [], [], 0, 0, 0, None, None
 
         def flush() -> None:
             nonlocal at, held
             frame = z.compress("\n".join(json.dumps(x, separators=(",", ":")) for x in held).encode())
             out.write(frame)
-            directory.append((held[0][0], at, len(frame)))
+            directory.append((*held[0][:2], at, len(frame)))
             at += len(frame)
             held = []
 
@@ -169,10 +189,11 @@ def build_index(captures: DataFrame, folder: str | None = None, *, lines: int =
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     uri = _files.new_name(folder, "segment", ".cdx")
-                    out, first = _files.open_output(uri), row[0]
+                    out, first = _files.open_output(uri), row[:2]
                 held.append(row)
-                last = row[0]
+                last = row[:2]
                 total += 1
+                stored += row[4]
                 if len(held) >= lines:
                     flush()
         if out is not None:
@@ -181,20 +202,22 @@ def build_index(captures: DataFrame, folder: str | None = None, *, lines: int =
             frame = z.compress(json.dumps(directory).encode())
             out.write(frame + struct.pack(_TAIL, at, len(frame), total, _MAGIC))
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [uri], "first_key": [first], "last_key": [last], "blocks": [len(directory)], "captures": [total]})
+            pages = [pa.array([x[1]], id_type) for x in (first, last)]
+            yield pa.RecordBatch.from_pydict({"file": [uri], "first_key": [first[0]], "first_page": pages[0], "last_key": [last[0]], "last_page": pages[1], "blocks": [len(directory)], "captures": [total], "bytes": [stored]})
 
     ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return written(ordered.mapInArrow(run, "file string, first_key string, last_key string, blocks bigint, captures bigint"), "segments")
+    return written(ordered.mapInArrow(run, f"file string, first_key string, first_page {kind}, last_key string, last_page {kind}, blocks bigint, captures bigint, bytes bigint"), "segments")
 
 
 @functools.lru_cache(maxsize=256)
-def _directory(uri: str) -> tuple[list[str], list[tuple[int, int]]]:
+def _directory(uri: str) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """The places of the first captures of a segment's blocks, and the blocks' ranges."""
     end = _files.size_of(uri)
     at, size, _, magic = struct.unpack(_TAIL, _files.read_range(uri, end - _TAIL_SIZE, _TAIL_SIZE))
     if magic != _MAGIC:
         raise ValueError(f"not an index segment: {uri}")
     rows = json.loads(zstandard.ZstdDecompressor().decompress(_files.read_range(uri, at, size)))
-    return [r[0] for r in rows], [(r[1], r[2]) for r in rows]
+    return [place_of(*r[:2]) for r in rows], [(r[2], r[3]) for r in rows]
 
 
 @functools.lru_cache(maxsize=64)
@@ -206,34 +229,38 @@ def _block(uri: str, at: int, size: int) -> list[list]:
 class CaptureIndex:
     """Segments in key order: (first key, last key, file). As many as the tasks that wrote them."""
 
-    segments: tuple[tuple[str, str, str], ...]
+    segments: tuple[tuple[tuple, tuple, str], ...]
 
     @classmethod
     def of(cls, segments: DataFrame) -> CaptureIndex:
-        return cls(tuple(sorted((r.first_key, r.last_key, r.file) for r in segments.select("first_key", "last_key", "file").collect())))
+        rows = segments.select("first_key", "first_page", "last_key", "last_page", "file").collect()
+        return cls(tuple(sorted((place_of(*r[:2]), place_of(*r[2:4]), r.file) for r in rows)))
+
+    def _from(self, place: tuple) -> Iterator[list]:
+        """The captures from a place on, in order."""
+        at = max(0, bisect.bisect_left(self.segments, place, key=lambda s: s[1]))
+        for _, _, uri in self.segments[at:]:
+            places, ranges = _directory(uri)
+            for b in range(max(0, bisect.bisect_left(places, place) - 1), len(places)):
+                rows = _block(uri, *ranges[b])
+                yield from rows[bisect.bisect_left(rows, place, key=lambda r: place_of(*r[:2])) :]
 
     def captures(self, url: str | None) -> Iterator[tuple]:
         """All captures of a URL: (key, page_id, file, offset, size, kind)."""
         key = url_key(url)
-        at = max(0, bisect.bisect_left(self.segments, key, key=lambda s: s[1]))
-        for first, _, uri in self.segments[at:]:
-            if first > key:
+        for row in self._from((key,)):
+            if row[0] != key:
                 return
-            keys, ranges = _directory(uri)
-            for b in range(max(0, bisect.bisect_left(keys, key) - 1), len(keys)):
-                if keys[b] > key:
-                    break
-                rows = _block(uri, *ranges[b])
-                for row in rows[bisect.bisect_left(rows, key, key=lambda r: r[0]) :]:
-                    if row[0] != key:
-                        break
-                    yield tuple(row)
+            yield tuple(row)
 
-    def payload(self, url: str | None, page: int | None = None) -> bytes | None:
+    def payload(self, url: str | None, page: Page = None) -> bytes | None:
         """The payload of a URL's response (of the page, if one is named)."""
-        for _, name, file, offset, size, kind in self.captures(url):
-            if kind == "response" and (page is None or name == page):
-                return parse_record(zlib.decompress(_files.read_range(file, offset, size), 31))[1]
+        key = url_key(url)
+        for row in self._from((key,) if page is None else place_of(key, page)):
+            if row[0] != key or (page is not None and row[1] != page):
+                return None
+            if row[5] == "response":
+                return parse_record(zlib.decompress(_files.read_range(*row[2:5]), 31))[1]
         return None
 
 
@@ -241,6 +268,8 @@ def read_archives(segments: DataFrame) -> DataFrame:
     """Every record, read by its range: (page_id, url, payload, payload_digest, record_type, refers_to). The payload
     and its hexadecimal SHA-1 are those of the full payload, for revisits as well."""
     index = CaptureIndex.of(segments)
+    kind, id_type = _id_type(segments.schema["first_page"].dataType)
+    n, stored = segments.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
 
     @_text.freed
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +282,7 @@ def read_archives(segments: DataFrame) -> DataFrame:
     @_text.freed
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @functools.lru_cache(maxsize=16)
-        def referred(url: str | None, page: int | None) -> bytes:
+        def referred(url: str | None, page: Page) -> bytes:
             found = index.payload(url, page)
             if found is None:
                 raise ValueError(f"page {page} is not in the index")
@@ -283,8 +312,10 @@ def read_archives(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
                 k = last
 
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64()]
+    kinds = [id_type, pa.string(), pa.binary(), pa.string(), pa.string(), id_type]
     names = ["page_id", "url", "payload", "payload_digest", "record_type", "refers_to"]
-    places = segments.select("file").repartition(partitions(segments.sparkSession), "file").mapInArrow(lines, "file string, offset bigint, size bigint")
-    places = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return places.mapInArrow(records, "page_id bigint, url string, payload binary, payload_digest string, record_type string, refers_to bigint")
+    # (given numbers of partitions aren't coalesced: these rows are small, what they name is not)
+    places = segments.select("file").repartition(max(1, n)).mapInArrow(lines, "file string, offset bigint, size bigint")
+    tasks = max(partitions(segments.sparkSession), -(-stored // READ))
+    places = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return places.mapInArrow(records, f"page_id {kind}, url string, payload binary, payload_digest string, record_type string, refers_to {kind}")

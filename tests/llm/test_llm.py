@@ -385,6 +385,21 @@ def test_archives(spark):
     assert warc.read_archives(warc.build_index(warc.write_archives(pages.limit(0)))).count() == 0
 
 
+def test_archives_of_text_ids_and_pages_of_a_hot_key(spark):
+    big = "<p>" + "x" * 1200 + "</p>"
+    rows = [(f"p/{i:03}", None, big if i % 3 else f"page {i}", 1) for i in range(60)] + [("", None, "empty name", 2), (None, None, "no name", 3), ("<é>", "http://a.com", big * 2000, 4)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, kind int")
+    segments = warc.build_index(warc.write_archives(pages), lines=4)
+    out = warc.read_archives(segments).collect()
+    assert counted((r.page_id, bytes(r.payload).decode(), r.refers_to) for r in out) == counted((i, h, "p/059" if h == big and i != "p/059" else None) for i, _, h, _ in rows)
+    read, block = [], warc._block
+    try:
+        warc._block = lambda *a: read.append(a) or block(*a)
+        assert warc.CaptureIndex.of(segments).payload(None, "p/059") == big.encode() and len(read) <= 2
+    finally:
+        warc._block = block
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/a/b?c=d#e") == "com,example,www)/a/b?c=d"
     assert warc.url_key("https://example.com:444") == "com,example:444)/" and warc.url_key(None) == "" and warc.url_key("No Url") == "no url"
