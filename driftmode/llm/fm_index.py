@@ -11,10 +11,11 @@ import numpy as np
 SAMPLE = 8
 
 
-def suffix_order(seq: np.ndarray) -> np.ndarray:
+def suffix_order(seq: np.ndarray, symbols: int | None = None) -> np.ndarray:
     """Suffix array of non-negative ids by prefix multiplication: every round sorts by two or three
     known ranks at once and only touches suffixes whose rank is still shared. The sequence must end
-    in a symbol that occurs once, as documents end in separators of their own."""
+    in a symbol that occurs once, as documents end in separators of their own. With ``symbols`` suffixes
+    are told apart by so many symbols at least, not necessarily by more."""
     n = len(seq)
     if n < 2:
         return np.arange(n)
@@ -44,7 +45,7 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
         result[rows] = order
         order, rows = order[~alone], rows[~alone]
         depth *= step
-        if not len(order):
+        if not len(order) or (symbols is not None and depth >= symbols):
             return result
 
 

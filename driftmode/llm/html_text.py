@@ -1,55 +1,59 @@
-"""Main text of web pages.
-
-1. A tolerant tokenizer cuts the HTML into blocks and puts each into a zone: *main* (inside an article or
-   main element), *aside* (inside menus, headers, footers, sidebars, notices, adverts, forms, comments of readers,
-   by element, role or class names) or *open* (neither).
-2. The main blocks of a page are its text; those of a page without main blocks are the open ones.
-3. Per host the texts are token streams of a suffix array, which finds the runs of at least ``RUN`` words that stand on
-   two different pages of the host (pages of equal text are one). Windows of ``RUN`` words in such runs are boilerplate if
-   they stand on at least two pages and half the pages of the host, where near copies (``NEAR``) are one page. The words that
-   they cover go (but not a few words at the edge of a block that is otherwise unique); what is left of each block, the
-   unique runs, is the text. The array is the sparse one of ``suffix_dedup``, with words salted by host, so a host with
-   very many pages is no single task.
-4. A main block is stated to be the article by the page itself, and articles share quotes, licence lines and passages.
-   So it goes only as a whole, if boilerplate of ``MAIN_PAGES`` pages or more covers every word of it, and never if the
-   article would be left empty.
+"""Main text of web pages by a suffix array for each host.
+
+1. One pass over the HTML cuts it into blocks and puts each into a zone: *main* (inside an article or main element),
+   *aside* (inside menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, by element, role or class
+   names) or *open* (neither). A page's token stream is its main blocks, or its open ones if it has no main block.
+2. The pages of a host are dealt by the digests of their texts into parts of about ``PART_PAGES`` pages or ``PART_BYTES``
+   bytes, so that a host with very many pages is no single task. In each part the streams are concatenated and
+   sorted as suffixes; neighbours with ``RUN`` words in common are repeats. Those on half the pages of the part
+   (and two at least) are boilerplate there. Equal texts are one page, and so are near copies (``NEAR``): if boilerplate
+   covers half of a page, it is compared with the others of which that is true.
+3. Boilerplate of a host is what is boilerplate in parts that hold half the host's pages. In a host of one part, that is
+   a share of ``SHARE`` exactly.
+4. The words that it covers go (but not a few words at the edge of a block that is otherwise unique); what is left of
+   each block, the unique runs, is the text. A main block is stated to be the article by the page itself, and articles
+   share quotes, licence lines and passages: it goes only as a whole, if boilerplate of ``MAIN_PAGES`` pages or more covers
+   every word of it, and never if the article would be left empty.
 
 Blocks have their character references decoded, white space (as in ``str.split``) joined to single spaces
 and ends trimmed; empty blocks go; blocks are joined by line breaks.
 
 Defined results: null HTML is empty and gives an empty text; unclosed or stray tags, comments and
-unfinished references are tolerated; pages with the same id are pages of their own; a null URL or one without
-host is a host of its own name; an empty table gives an empty result.
+unfinished references are tolerated (where the quotes of a tag never close, it and all later ones end at the next ">"),
+in time linear in the page's length; pages with the same id are pages of their own; a null URL or one without
+host is a host of its own name; columns other than id, URL and HTML are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import written
-from .near_dup import near_duplicates
-from .suffix_dedup import _hashes, digest, find_repeats
+from .fm_index import suffix_order
+from .near_dup import element_sets, spanning_links
 
 RUN = 8
-#: Words of the grams by which runs are found.
-GRAM = 4
-#: Part of a host's pages on which boilerplate stands.
+#: Part of the pages on which boilerplate stands.
 SHARE = 0.5
 #: Pages on which boilerplate inside a declared article stands.
 MAIN_PAGES = 4
-#: Similarity of near copies (of sets of 5-word shingles), and the darts of a band, fewer than for more similar ones.
+#: Similarity of near copies (of sets of 5-word shingles).
 NEAR = 0.6
-NEAR_DARTS = 3
+#: Pages and bytes of text of a part, about; it has LEAST_PAGES pages if these have more bytes.
+PART_PAGES = 512
+PART_BYTES = 2 << 20
+LEAST_PAGES = 16
 
 # Elements and names of the HTML standard and common practice.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -65,26 +69,39 @@ _NAMES = frozenset(
 )
 _WHOLE_NAMES = frozenset("header site-header page-header main-header top-header aside side search toc".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: Names that a wrapper of an article may have as well, for what else it holds or lacks.
+_LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation share sharing social ad ads banner widget widgets toolbar breadcrumb breadcrumbs cookie cookies notice notices modal overlay topbar masthead".split())
+_STATES = frozenset("has no with without non is not".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag: quotes count after an equals sign.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _MORE_THAN_TAG = re.compile(r"[^a-z0-9]+")
 
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _aside(tag: str, attributes: str, in_main: bool) -> str:
+    """The zone of an element that is no main text: "aside", or "layout" if only names say so that a wrapper of the article
+    may have as well; or nothing."""
     if tag in _ASIDE or (tag == "header" and not in_main):
-        return True
+        return "aside"
     if tag in _MAIN or tag in ("html", "body") or "=" not in attributes:
-        return False
+        return ""
+    zone = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
         if name.lower() == "role":
             if value in _ROLES:
-                return True
+                return "aside"
         elif name.lower() in ("class", "id"):
             for one in value.split():
-                if one in _WHOLE_NAMES or not _NAMES.isdisjoint(_MORE_THAN_TAG.split(one)):
-                    return True
-    return False
+                words = _MORE_THAN_TAG.split(one)
+                named = _NAMES.intersection(words)
+                if one in _WHOLE_NAMES or (named and not named <= _LAYOUT):
+                    return "aside"
+                if named and words[0] not in _STATES:
+                    zone = "layout" if tag in ("div", "section") else "aside"
+    return zone
 
 
 def _is_main(tag: str, attributes: str) -> bool:
@@ -93,71 +110,152 @@ def _is_main(tag: str, attributes: str) -> bool:
     return "=" in attributes and any((n.lower(), v.strip("\"'").lower()) in (("role", "main"), ("role", "article"), ("itemprop", "articlebody")) for n, v in _ATTRIBUTE.findall(attributes))
 
 
+class Scanner:
+    """Goes through HTML once, from one piece of markup to the next."""
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+        self.closes = True  # there may be a ">" further on
+        self.sections = True  # there may be an end of a CDATA section
+        self.ragged = False  # a tag's quotes don't close: later tags end at the next ">"
+        self.unclosed: set[str] = set()  # raw elements of which no end tag is left
+
+    def next(self) -> tuple[int, str, str, bool] | None:
+        """(start, name, attributes, closing) of the next markup, which ends at ``at``. Comments and the like have no name, and a
+        CDATA section's text for attributes."""
+        html, at = self.html, self.at
+        while (at := html.find("<", at)) >= 0:
+            kind = html[at + 1 : at + 2]
+            if kind == "!" and html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                self.at = len(html) if end < 0 else end + 3
+                return at, "", "", False
+            if kind == "!" and self.sections and html.startswith("<![CDATA[", at):
+                end = html.find("]]>", at)
+                if end >= 0:
+                    self.at = end + 3
+                    return at, "", html[at + 9 : end], False
+                self.sections = False
+            name = _NAME.match(html, at + 1 + (kind == "/"))
+            if name is None and kind not in ("!", "?", "/"):
+                at += 1
+                continue
+            rest = _REST.match(html, name.end()) if name and self.closes and not self.ragged else None
+            if rest is None:
+                self.ragged = self.ragged or name is not None
+                end = html.find(">", name.end() if name else at) + 1 if self.closes else 0
+                if not end:
+                    self.closes = False
+                    return None
+            else:
+                end = rest.end()
+            self.at = end
+            return (at, name[0].lower(), html[name.end() : end - 1], kind == "/") if name else (at, "", "", False)
+        return None
+
+    def skip(self, tag: str) -> None:
+        """Pass over what a raw element holds."""
+        close = None if tag in self.unclosed else _CLOSERS[tag].search(self.html, self.at)
+        end = self.html.find(">", close.end()) + 1 if close else 0
+        if end:
+            self.at = end
+        else:
+            self.unclosed.add(tag)
+            if tag in _TO_THE_END:
+                self.at = len(self.html)
+
+
+_CLOSERS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_TO_THE_END = frozenset("script style noscript template iframe textarea".split())
+#: Elements that are closed as a rule: a main element inside such an aside is part of it.
+_WALLS = frozenset("section div aside footer form".split())
+
+
+class Zones:
+    """The open elements that matter for the zone. Text counts while no aside is open but those around the open main element."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int]] = []  # name, zone, and the asides that were passed over before
+        self.names: Counter[str] = Counter()
+        self.zones: Counter[str] = Counter()
+        self.asides = self.passed = 0
+
+    @property
+    def shown(self) -> bool:
+        return self.asides == self.passed
+
+    def push(self, tag: str, zone: str) -> None:
+        self.stack.append((tag, zone, self.passed))
+        self.names[tag] += 1
+        self.zones[zone] += 1
+        if zone in ("main", "wrapped"):
+            self.passed = self.asides
+        self.asides += zone in ("aside", "wall", "layout")
+
+    def close(self, tag: str) -> None:
+        while self.names[tag]:
+            name, zone, passed = self.stack.pop()
+            self.names[name] -= 1
+            self.zones[zone] -= 1
+            self.asides -= zone in ("aside", "wall", "layout")
+            if zone in ("main", "wrapped"):
+                self.passed = passed
+            if name == tag:
+                return
+
+
 def blocks_of(html: str) -> tuple[list[str], list[str]]:
-    """The main and the open blocks of a page."""
+    """The main and the open blocks of a page. A main element inside a wrapper with the names of a layout counts if the page
+    has no other one and not more open text."""
     main: list[str] = []
     open_: list[str] = []
+    wrapped: list[str] = []
     held: list[str] = []
-    stack: list[tuple[str, str]] = []  # elements that change the zone: name, "aside" or "main"; or "" for one of the same name inside
-    asides = mains = 0
-    at = 0
+    z = Zones()
 
     def flush() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                (main if mains else open_).append(text)
-
-    def text(a: int, b: int) -> None:
-        if a < b and not asides:
-            held.append(html[a:b])
-
-    end = len(html)
-    for m in iter(lambda: _TOKEN.search(html, at), None):
-        text(at, m.start())
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] is not None and not asides:
-                held.append(m[1].replace("&", "&amp;"))
+                (wrapped if z.zones["wrapped"] else main if z.zones["main"] else open_).append(text)
+
+    scan, at = Scanner(html), 0
+    while (found := scan.next()) is not None:
+        start, tag, attributes, closing = found
+        if at < start and z.shown:
+            held.append(html[at:start])
+        if not tag:
+            if attributes and z.shown:
+                held.append(attributes.replace("&", "&amp;"))
+            at = scan.at
             continue
-        tag = tag.lower()
         if tag in _BLOCK:
             flush()
-        if m[2]:
-            names = [s[0] for s in stack]
-            if tag in names:
-                k = len(names) - 1 - names[::-1].index(tag)
-                for _, zone in stack[k:]:
-                    asides -= zone == "aside"
-                    mains -= zone == "main"
-                del stack[k:]
-            elif tag == "body":
-                stack.clear()
-                asides = mains = 0
-            continue
-        if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if not m[4].endswith("/"):
-                at = close.end() if close else (end if tag in ("script", "style", "noscript", "template", "iframe", "textarea") else at)
-            continue
-        if tag in _VOID or m[4].endswith("/"):
-            continue
-        if _is_main(tag, m[4]) and (not asides or not any(s[0] in ("section", "div", "aside", "footer", "form") for s in stack if s[1] == "aside")):
-            if asides:  # a menu or header that was never closed
-                stack, asides = [s for s in stack if s[1] == "main"], 0
-            stack.append((tag, "main"))
-            mains += 1
-        elif tag == "body" and asides:
-            stack, asides = [], 0
-        elif _aside(tag, m[4], mains > 0):
-            stack.append((tag, "aside"))
-            asides += 1
-        elif any(s[0] == tag for s in stack):
-            stack.append((tag, ""))
-    text(at, end)
+        if closing:
+            if tag == "body" and not z.names[tag]:
+                z = Zones()
+            else:
+                z.close(tag)
+        elif tag in _RAW:
+            if not attributes.endswith("/"):
+                scan.skip(tag)
+        elif tag in _VOID or attributes.endswith("/"):
+            pass
+        elif _is_main(tag, attributes) and not z.zones["wall"]:
+            z.push(tag, "wrapped" if z.zones["layout"] else "main")
+        elif tag == "body" and z.asides:
+            z = Zones()
+        elif zone := _aside(tag, attributes, z.zones["main"] + z.zones["wrapped"] > 0):
+            z.push(tag, "wall" if zone == "aside" and tag in _WALLS else zone)
+        elif z.names[tag]:
+            z.push(tag, "")
+        at = scan.at
+    if z.shown:
+        held.append(html[at:])
     flush()
+    if not main and wrapped and sum(map(len, wrapped)) >= sum(map(len, open_)):
+        main = wrapped
     return main, open_
 
 
@@ -168,90 +266,158 @@ def host_of(url: str | None) -> str:
         return url or ""
 
 
-_PARSED = "page_id {}, url string, text string, declared boolean, host string, name bigint"
+_PARSED = "page_id {}, url string, text string, declared boolean, host string, node binary"
 
 
 def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, text, declared, host, name): the joined main blocks, or the joined open blocks of a page without such."""
+    """(page_id, url, text, declared, host, node): the joined main blocks, or the joined open blocks of a page without such;
+    node is the digest of text and host."""
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts, declared, hosts, names = [], [], [], []
-                for name, url, html in zip(*(c.to_pylist() for c in part.columns)):
+            for part in _text.parts(batch, 2, 2 << 20):
+                texts, declared, hosts, nodes = [], [], [], []
+                for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     main, open_ = blocks_of(html or "")
                     texts.append("\n".join(main or open_))
                     declared.append(bool(main))
                     hosts.append(host_of(url))
-                    key = f"{name}\x00{url}\x00".encode() + (html or "").encode()
-                    names.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
+                    nodes.append(hashlib.md5(f"{texts[-1]}\x00{hosts[-1]}".encode(errors="surrogatepass"), usedforsecurity=False).digest())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.bool_()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())],
-                    ["page_id", "url", "text", "declared", "host", "name"],
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.bool_()), pa.array(hosts, pa.string()), pa.array(nodes, pa.binary())],
+                    ["page_id", "url", "text", "declared", "host", "node"],
                 )
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, _PARSED.format(pages.schema[id_col].dataType.simpleString()))
 
 
-def _windows(repeated: DataFrame, size: int) -> DataFrame:
-    """(node, host, place, window, first) of every window of ``size`` words inside the repeated runs of a text, from (node,
-    host, text, repeats); first marks one of equal windows of a text."""
+def in_parts(parsed: DataFrame, part_pages: int, part_bytes: int) -> DataFrame:
+    """(host, part, node, text), a row for each text of a host. Copies are few after each task has combined its own, so a
+    text that very many pages have is no large group."""
+    texts = parsed.where("text <> ''")
+    hosts = texts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    hosts = hosts.select("host", F.greatest(F.ceil(F.col("n") / part_pages), F.least(F.ceil(F.col("size") / part_bytes), F.ceil(F.col("n") / LEAST_PAGES))).alias("parts"))
+    # only hosts of several parts: at most one for each PART_PAGES pages; written, so that Spark knows the size when it chooses the join
+    several = written(hosts.where("parts > 1"), "hosts")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    own = texts.join(several, "host", "left").select("host", part.alias("part"), "node", "text")
+    return own.groupBy("host", "part", "node").agg(F.first("text").alias("text"))
+
+
+def window_pages(texts: pa.Array, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, first, page) of the runs of ``run_words`` words that stand in two pages at least, by the suffix array of the
+    pages' words: pages ``page[first[i]:first[i + 1]]``, ascending, have ``window[i]``."""
+    tokens, windows, pages = [], [], []
+    for block in _text.blocks(texts):
+        w = _text.words(block)
+        h = w.hashes()
+        value, at = _text.windows(h, w.off, run_words)
+        own = np.zeros(len(h), np.uint64)
+        own[at] = value
+        tokens.append(h)
+        windows.append(own)
+        pages.append(w.row_of() + block.first)
+    h, window, page = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (tokens, windows, pages))
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    page = page.astype(np.int64)
+    n = len(texts)
+    # a separator of its own ends each page
+    place = np.arange(len(h)) + page
+    _, ids = np.unique(h, return_inverse=True)
+    seq = np.empty(len(h) + n, np.int64)
+    seq[place] = ids + n
+    ends = np.ones(len(seq), bool)
+    ends[place] = False
+    seq[ends] = np.arange(n)
+    del h, ids
+    order = suffix_order(seq, run_words)
+    order = order[~ends[order]]
+    word = np.empty(len(seq), np.int64)
+    word[place] = np.arange(len(place))
+    order = word[order]
+    order = order[window[order] != 0]  # a run that goes beyond the page's end is none
+    if not len(order):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    value, page = window[order], page[order]
+    new = np.append(True, value[1:] != value[:-1])
+    group = np.cumsum(new) - 1
+    both = np.unique(group * n + page)
+    group, page = both // n, both % n
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    count = np.diff(np.append(begin, len(group)))
+    kept = count > 1
+    return value[new][group[begin[kept]]], np.append(0, np.cumsum(count[kept])), page[np.repeat(kept, count)]
+
+
+def part_boilerplate(texts: pa.Array, run_words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The pages of a part (near copies are one), its boilerplate windows, and the pages that have each."""
+    window, first, page = window_pages(texts, run_words)
+    words = np.array([len(t.split()) for t in texts.to_pylist()])
+    label = np.arange(len(texts))
+    row = np.repeat(np.arange(len(window)), np.diff(first))
+    while True:
+        pages = len(np.unique(label))
+        both = np.unique(row * len(texts) + label[page]) if len(row) else np.zeros(0, np.int64)
+        support = np.bincount(both // len(texts), minlength=len(window))
+        common = (support >= 2) & (support >= SHARE * pages)
+        # near copies have most of their words in common: only pages that are half boilerplate can be such
+        covered = np.bincount(page[common[row]], minlength=len(texts))
+        some = np.flatnonzero((2 * covered >= np.maximum(words - run_words + 1, 1)) & (covered > 0))
+        linked = spanning_links(element_sets(texts.take(pa.array(some)), False), label[some], NEAR) if len(some) > 1 else []
+        if not linked:
+            return pages, window[common], support[common]
+        for a, b in linked:
+            x, y = label[some[a]], label[some[b]]
+            label[label == max(x, y)] = min(x, y)
+
+
+def boilerplate(parsed: DataFrame, run_words: int, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(host, windows): the boilerplate of each host that has some, with the pages that each window stands on."""
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _text.blocks(batch.column(2)):
-                part = batch.slice(block.first, len(block))
-                w = _text.words(block)
-                value, at = _text.windows(_hashes(w, part.column(1)), w.off, size)
-                inside = np.zeros(len(w.start) + 1, bool)
-                for begin, spans in zip(w.off, part.column(3).to_pylist()):
-                    for s in spans:
-                        inside[begin + s["start"] : begin + s["end"] - size + 1] = True
-                value, at = value[inside[at]], at[inside[at]]
-                row = np.searchsorted(w.off, at, side="right") - 1
-                order = np.lexsort((at, value, row))
-                first = np.ones(len(at), bool)
-                first[order[1:]] = (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(at - w.off[row]), pa.array(value.view(np.int64)), pa.array(first)],
-                    ["node", "host", "place", "window", "first"],
-                )
-
-    return repeated.select("node", "host", "text", "repeats").mapInArrow(run, "node binary, host string, place bigint, window bigint, first boolean")
+        held: list[pa.RecordBatch] = []
 
+        def settled() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            pages, window, support = part_boilerplate(_text.text_array(rows.column(2)), run_words) if rows.num_rows > 1 else (1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            n = len(window) + 1  # a row for the part itself
+            values = pa.array(np.append(window.view(np.int64), 0), mask=np.append(np.zeros(n - 1, bool), True))
+            yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks().take(pa.array(np.zeros(n, np.int64))), values, pa.array(np.append(support, 0).astype(np.int64)), pa.array(np.full(n, pages, np.int64))], ["host", "window", "support", "pages"])
 
-def _needed(n: str) -> Column:
-    return F.greatest(F.lit(2), F.ceil(F.col(n) * SHARE))
-
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if held and keys[a] != last:
+                    yield from settled()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = keys[a]
+        if held:
+            yield from settled()
 
-def boilerplate(texts: DataFrame, run_words: int) -> DataFrame:
-    """(node, spans) of every text with boilerplate, from (node, host, text, name), one row for each text of a host; a
-    span has the pages that it stands on."""
-    found = find_repeats(texts, id_col="name", text_col="text", scope_col="host", distinct=True, min_words=run_words, anchor=GRAM).select("node", "repeats")
-    windows = written(_windows(texts.join(found, "node"), run_words), "windows")
-    hosts = written(texts.groupBy("host").agg(F.count("*").alias("n_pages")), "hosts")
-    common = windows.where("first").groupBy("host", "window").agg(F.count("*").alias("n")).join(hosts, "host").where(F.col("n") >= _needed("n_pages"))
-    hit = written(windows.join(written(common.select("window"), "common"), "window"), "hit")
-    # near copies are one page: their shared text isn't boilerplate for being on all of them
-    some = written(texts.join(hit.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("page"), "host", "text"), "some")
-    if some.isEmpty():
-        return texts.select("node").limit(0).withColumn("spans", F.array().cast(_SPANS))
-    classes = near_duplicates(some, id_col="page", text_col="text", similar=NEAR, darts=NEAR_DARTS).select(F.col("page").alias("node"), "root")
-    classes = written(some.select(F.col("page").alias("node"), "host").join(classes, "node"), "classes")
-    # (a host's window and class are one row before they are counted, so no task holds a window's pages)
-    support = hit.where("first").join(classes.select("node", "root"), "node").select("host", "window", "root").distinct().groupBy("host", "window").agg(F.count("*").alias("pages"))
-    fewer = classes.groupBy("host").agg((F.count("*") - F.countDistinct("root")).alias("copies"))
-    rest = hosts.join(fewer, "host").select("host", (F.col("n_pages") - F.col("copies")).alias("n_pages"))
-    sure = written(support.join(rest, "host").where(F.col("pages") >= _needed("n_pages")).select("window", "pages"), "boilerplate")
-    span = F.struct(F.col("place").alias("start"), (F.col("place") + run_words).alias("end"), "pages")
-    return hit.join(sure, "window").groupBy("node").agg(F.collect_list(span).alias("spans"))
+    texts = in_parts(parsed, part_pages, part_bytes).repartition("host", "part").sortWithinPartitions("host", "part", "node")
+    found = written(texts.select("host", "part", "text").mapInArrow(run, "host string, window bigint, support bigint, pages bigint"), "parts")
+    total = found.where("window is null").groupBy("host").agg(F.sum("pages").alias("total"))
+    common = found.where("window is not null").groupBy("host", "window").agg(F.sum("support").alias("support"), F.sum("pages").alias("pages"))
+    sure = common.join(total, "host").where((F.col("support") >= 2) & (F.col("pages") >= F.col("total") * SHARE))
+    # (a host's boilerplate is a few pages of text at most: windows on half of its pages)
+    return written(sure.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("window", "support"))).alias("windows")), "boilerplate")
 
 
-_SPANS = "array<struct<start:bigint,end:bigint,pages:bigint>>"
+def spans_of(text: str, windows: list[dict], run_words: int) -> list[dict]:
+    """Where the windows stand in a text, in words."""
+    w = _text.words(next(_text.blocks(pa.array([text], pa.string()))))
+    value, at = _text.windows(w.hashes(), w.off, run_words)
+    support = {x["window"]: x["support"] for x in windows}
+    return [{"start": k, "end": k + run_words, "pages": support[v]} for v, k in zip(value.view(np.int64).tolist(), at.tolist()) if v in support]
 
 
 def without_words(text: str, spans: list[dict], run_words: int) -> str:
@@ -290,20 +456,19 @@ def without_blocks(text: str, spans: list[dict]) -> str:
     return "\n".join(left) or text
 
 
-def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run_words: int = RUN) -> DataFrame:
+def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run_words: int = RUN, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     parsed = written(parse_pages(pages, id_col, url_col, html_col), "parsed")
-    texts = parsed.where("text <> ''").groupBy(digest("text", "host").alias("node")).agg(F.min("name").alias("name"))
-    own = parsed.where("text <> ''").select(digest("text", "host").alias("_node"), F.col("name").alias("_name"), "host", "text")
-    texts = own.join(texts, (F.col("node") == F.col("_node")) & (F.col("name") == F.col("_name"))).select("node", "name", "host", "text")
-    found = boilerplate(written(texts.dropDuplicates(["node"]), "texts"), run_words)
-    both = parsed.join(found, digest("text", "host") == F.col("node"), "left").select("page_id", "url", "text", "declared", "spans")
+    both = parsed.join(boilerplate(parsed, run_words, part_pages, part_bytes), "host", "left").select("page_id", "url", "text", "declared", "windows")
     kind = parsed.schema["page_id"].dataType.simpleString()
 
+    @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
-            texts = [t if not s else without_blocks(t, s) if declared else without_words(t, s, run_words) for t, declared, s in rows]
+            texts = []
+            for t, declared, windows in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                spans = spans_of(t, windows, run_words) if t and windows else []
+                texts.append(t if not spans else without_blocks(t, spans) if declared else without_words(t, spans, run_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     done = both.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -545,6 +546,11 @@ def test_contamination(docs, empty, spark, monkeypatch):
         ("<article><p>a<script>var t='</p>';</script>b<!-- c -->c</p><form>q</form><aside>n</aside>d</article>e", ["abc", "d"]),
         ("<article>1 < 2 &amp; 3 > 2<br>next&copy</article>", ["1 < 2 & 3 > 2", "next©"]),
         ("<div role=main>m <i>n</i></div><div role='contentinfo'>c</div>", ["m n"]),
+        ("<div class='layout has-sidebar'><div id=with-nav><article><p>kept</p><div class=sidebar>no</div></article></div></div>", ["kept"]),
+        ("<div class='post-social content'><main>in a wrapper</main></div><p>less</p>", ["in a wrapper"]),
+        ("<div class=comments><article>a reader's</article></div><p>text", []),
+        ("<article><a href=it's>x</a> <b title='a > b'>y</b> <i title=\"open>z</i></article>", ["x y z"]),
+        ("<article><![CDATA[a & b]]> c <![CDATA[d<p>e</article>", ["a & b c e"]),  # what never ends is a comment up to the next ">"
         ("<article><style>p{}</style><p class=\"cookie-notice\">eat</p><p>x\n\t y</p><!-- open", ["x y"]),
     ],
 )
@@ -552,6 +558,49 @@ def test_main_blocks(html, want):
     assert html_text.blocks_of(html)[0] == want
 
 
+@pytest.mark.parametrize(
+    "html", ["<a " * 400_000, "<a x=\"" * 150_000 + "'", "<a title='" + "<b>" * 300_000, "<![CDATA[" * 100_000 + "<p>", "</x>" * 200_000, "<nav>" * 100_000 + "</x>" * 100_000, "<svg>" * 200_000, "</script " * 100_000, "<script></script " * 60_000,
+             "<header><article>" * 60_000, "<a " + "<b \">\" " * 150_000, "<!--" * 250_000, "&" * 1_000_000, "<div class=\"" * 80_000, "<section class=has-sidebar><article>" * 30_000]
+)
+def test_hostile_pages_take_linear_time(html):
+    start = time.perf_counter()
+    html_text.blocks_of(html)
+    assert time.perf_counter() - start < 4
+
+
+def brute_windows(texts, size):
+    found = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = SPACE.findall(t)
+        for k in range(len(w) - size + 1):
+            found[tuple(w[k : k + size])].add(i)
+    return sorted(sorted(x) for x in found.values() if len(x) > 1)
+
+
+def test_the_host_array_finds_all_repeats():
+    rng = random.Random(12)
+    for size in (2, 3, 8):
+        for _ in range(40):
+            texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(0, 9))]
+            window, first, page = html_text.window_pages(pa.array(texts, pa.large_string()), size)
+            assert sorted(page[a:b].tolist() for a, b in zip(first, first[1:])) == brute_windows(texts, size) and len(window) == len(first) - 1 == len(set(window.tolist()))
+
+
+def test_hosts_in_parts_and_the_plan(spark):
+    top = "Every page of this large host begins with these same words of welcome to all"
+    rows = [(i, f"http://a.com/{i}", f"<p>{top}</p><p>{prose(200 + i, 60)}</p>") for i in range(120)] + [(500 + i, "http://a.com/copy", f"<p>{prose(1, 90)}</p>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = lambda i: " ".join(prose(200 + i, 60).split())
+    for part in (html_text.PART_PAGES, 20):
+        got = {r.page_id: r.text for r in html_text.extract_text(pages, part_pages=part).collect()}
+        assert all(got[i] == text(i) for i in range(120)) and got[500] == " ".join(prose(1, 90).split())
+    # without the array the result is another one
+    off = {r.page_id: r.text for r in html_text.extract_text(pages, run_words=10**6).collect()}
+    assert all(off[i] == f"{top}\n{text(i)}" for i in range(120))
+    parts = html_text.in_parts(html_text.parse_pages(pages, "page_id", "url", "html"), 20, 1 << 20)
+    assert parts.count() == 121 and parts.select("part").distinct().count() == 8
+
+
 def test_boilerplate_of_a_host_goes(spark):
     top = "<div>Welcome to the great site of all the things here today</div>"
     rows = [(i, f"http://{'a' if i < 4 else 'b'}.com/{i}", f"{top}<p>story number {i} is unique w{i} x{i} y{i}</p><p>{top}</p>") for i in range(6)]
