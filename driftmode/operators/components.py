@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_table, shared_dir
 
 MAX_ROUNDS = 60
 
@@ -26,18 +26,18 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a vertex to the vertex's smallest neighbour (or itself)."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Link every larger neighbour of a vertex to the vertex's smallest neighbour (or itself); also the written table this reads."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Link a vertex and its smaller neighbours to the smallest of them. Edges have v < u."""
     least = _saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), least
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -52,7 +52,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     cur = _saved(e.where("u <> v").distinct(), "components")
     seen = None
     for _ in range(MAX_ROUNDS):
-        cur = _saved(_small_star(_large_star(cur)), "components")
+        large, one = _large_star(cur)
+        small, two = _small_star(large)
+        before, cur = cur, _saved(small, "components")
+        for done in (before, one, two):
+            drop_table(done)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

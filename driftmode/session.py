@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -55,3 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="driftmode-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that was written to the shared folder, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
