@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_table, shared_dir  # noqa: F401
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -40,14 +39,5 @@ def without(docs: DataFrame, *added: str) -> DataFrame:
     return docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in taken))
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,10 @@
 """Weighted MinHash signatures by hashed darts.
 
 An element of weight ``w`` owns the region [0, w) x [0, inf) of height and time. Darts fall on every
-element's region by a Poisson process of unit rate that depends on the element alone: for each unit of
-height, hashed exponential gaps give the times of its darts, further hashes give a dart's height,
-coordinate and name. A signature keeps, for each of ``k`` coordinates, the name of the earliest dart
+element's region by a Poisson process of unit rate that depends on the element alone: the heights are cut into slabs
+[0, 1), [1, 2), [2, 4), [4, 8), ..., so an element has about log2(w) of them; in a slab hashed exponential gaps, as short as
+it is high, give the times of its darts, further hashes give a dart's height, coordinate and name. Darts above the
+weight don't count (at most half of those in the top slab). A signature keeps, for each of ``k`` coordinates, the name of the earliest dart
 below the weights. Two weighted sets agree in a coordinate with the probability of their weighted
 Jaccard similarity.
 
@@ -52,13 +53,17 @@ def signatures(elements: np.ndarray, off: np.ndarray, k: int, weights: np.ndarra
     row = np.repeat(np.arange(sets), np.diff(off))
     cell_of = np.arange(len(elements))
     cells, top = mix(elements), None
+    rate = None
     if weights is not None:
-        units = np.ceil(np.maximum(weights, 0)).astype(np.int64)
-        cell_of = np.repeat(cell_of, units)
-        height = np.arange(len(cell_of)) - np.repeat(np.cumsum(units) - units, units)
-        cells, row = mix(cells[cell_of] + height.astype(np.uint64) * _HEIGHT), row[cell_of]
-        top = weights[cell_of] - height
-        total = np.bincount(row, np.minimum(top, 1), minlength=sets)
+        total = np.bincount(row, np.maximum(weights, 0), minlength=sets)
+        slabs = np.where(weights > 1, 1 + np.ceil(np.log2(np.maximum(weights, 1))), weights > 0).astype(np.int64)
+        cell_of = np.repeat(cell_of, slabs)
+        slab = np.arange(len(cell_of)) - np.repeat(np.cumsum(slabs) - slabs, slabs)
+        low = np.where(slab, 2.0 ** (slab - 1), 0.0)
+        rate = np.maximum(low, 1.0)
+        cells, row = cells[cell_of], row[cell_of]
+        cells = np.where(slab, mix(cells + slab.astype(np.uint64) * _HEIGHT), cells)
+        top = (weights[cell_of] - low) / rate
     else:
         total = np.diff(off).astype(np.float64)
     todo = total > 0
@@ -68,9 +73,10 @@ def signatures(elements: np.ndarray, off: np.ndarray, k: int, weights: np.ndarra
         at = np.arange(len(cells)) if todo.all() else np.flatnonzero(todo[row])
         best = np.full(sets * k, np.inf)
         found = []
-        for who, t, name in _throw(cells[at], reach[row[at]]):
+        for who, t, name in _throw(cells[at], reach[row[at]] if rate is None else reach[row[at]] * rate[at]):
             who = at[who]
             if top is not None:
+                t = t / rate[who]
                 below = uniform(mix(name + _HEIGHT)) <= top[who]
                 who, t, name = who[below], t[below], name[below]
             slot = row[who] * k + (mix(name + _PLACE) % np.uint64(k)).astype(np.int64)

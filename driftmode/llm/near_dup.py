@@ -4,12 +4,14 @@ Words are runs of ``[a-z0-9]`` and non-ASCII characters after lowering A-Z; a sh
 a document of fewer words (but not none) is one shingle. Similarity is the Jaccard similarity of the
 shingle sets (``weighted=True``: of the shingle counts), and texts are linked from 0.8.
 
-1. One pass writes a row per document: text digest and band keys. Equal texts are one node from here on.
+1. One pass writes a row per document: text digest and band keys. Signatures are weighted by the shingles' counts. A text
+   that repeats shingles has the bands of its set as well (that of weights 1) if sets are compared: what repeats itself
+   may be as similar by its set as it is different by its counts. Equal texts are one node from here on.
 2. Nodes that share a band key are candidates. A bucket is never expanded into pairs: every member is
    compared with the bucket's smallest node.
 3. Links are checked against the shingle sets of the whole texts; linked nodes form components.
 4. Buckets whose members are still in several components are settled exactly: buckets that share members
-   make a group, a group is cut into blocks of about ``BLOCK`` nodes, and for each pair of blocks one task
+   make a group, a group is cut into blocks of about ``BLOCK`` nodes or ``BLOCK_BYTES`` bytes of text, and for each pair of blocks one task
    counts the common shingles of all its nodes (a matrix product for the frequent ones, postings for the
    rest) and returns a spanning set of the links it finds. So no link between texts that share a bucket
    is lost, and no task or table holds the pairs of a group.
@@ -19,7 +21,8 @@ with 1e-9.
 
 Defined results: null text counts as empty; texts without words are equal to equal texts only; rows
 with the same id and text are one document; a class is named by its smallest doc_id (null if it has
-null ids only); an empty table gives an empty result; further columns are ignored.
+null ids only); texts of any length are compared whole; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +37,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import _text
-from ._spark import put_back, set_aside, written
+from ._spark import drop_table, put_back, set_aside, written
 from .dart_minhash import band_keys, signatures
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 20
 BAND_DARTS = 4
-#: Nodes of a group that one task compares with as many others.
-BLOCK = 1500
+#: Nodes of a group, and bytes of their texts, that one task compares with as many others.
+BLOCK = 500
+BLOCK_BYTES = 4 << 20
 
 
 def shingles(block: _text.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +75,13 @@ def shingles(block: _text.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 def _counted(s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row with their counts as weights."""
-    keys, weights, new = [], [], [0]
-    for a, b in zip(off[:-1], off[1:]):
-        u, c = np.unique(s[a:b], return_counts=True)
-        keys.append(u)
-        weights.append(c)
-        new.append(new[-1] + len(u))
-    return np.concatenate(keys) if keys else s, np.array(new), (np.concatenate(weights) if weights else np.zeros(0)).astype(np.float64)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((s, row))
+    s, row = s[order], row[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return s[at], np.searchsorted(row[at], np.arange(len(off))), np.diff(np.append(at, len(s))).astype(np.float64)
 
 
 def _node(text: bytes) -> bytes:
@@ -91,16 +95,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, darts: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(1)):
-                s, off = shingles(block)
-                if weighted:
-                    some, some_off, weight = _counted(s, off)
-                    sig = signatures(some, some_off, bands * darts, weight)
-                else:
-                    sig = signatures(s, off, bands * darts)
+                some, off, weight = _counted(*shingles(block))
                 has = np.diff(off) > 0
-                keys = band_keys(sig, bands)[has].astype(np.int64).ravel()
-                at = np.zeros(len(block) + 1, np.int32)
-                np.cumsum(has * bands, out=at[1:])
+                own = band_keys(signatures(some, off, bands * darts, weight), bands).astype(np.int64)
+                count = has * bands
+                keys = own[has].ravel()
+                again = np.flatnonzero(_text.counts_in_rows(weight > 1, off)) if not weighted else np.zeros(0, np.int64)
+                if len(again):
+                    # the bands of their sets that the weighted ones lack
+                    size = np.diff(off)[again]
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(off[again], size)
+                    sets = band_keys(signatures(some[at], np.append(0, np.cumsum(size)), bands * darts), bands).astype(np.int64)
+                    lists = list(own)
+                    for i, more in zip(again.tolist(), sets):
+                        lists[i] = np.union1d(own[i], more)
+                        count[i] = len(lists[i])
+                    keys = np.concatenate([x for x, h in zip(lists, has) if h])
+                at = np.append(0, np.cumsum(count)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.first, len(block)),
@@ -211,9 +222,10 @@ def spanning_links(sets: list[np.ndarray], label: np.ndarray, similar: float) ->
 
 def _settled(members: DataFrame, texts: DataFrame, similar: float, weighted: bool, block: int) -> DataFrame:
     """Links (a, b) within groups, from (node, root, grp): all that join different roots, or some that span the same."""
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+    bytes_of = texts.select("node", F.octet_length("text").alias("size"))
+    sizes = members.join(bytes_of, "node").groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     # (a group of n nodes is read n / block times)
-    cut = members.join(sizes, "grp").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    cut = members.join(sizes, "grp").withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_BYTES))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
     both = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     both = both.select("grp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "root").join(texts, "node")
 
@@ -261,6 +273,7 @@ def near_duplicates(
     texts = whole.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     links = written(checked(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), texts, similar, weighted), "links")
+    drop_table(sizes)
     roots = connected_components(links)
     # buckets in which not all members have met, and that are not one component yet
     known = buckets.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -271,7 +284,10 @@ def near_duplicates(
         groups = connected_components(left.select("hub", "node"), "hub", "node").select("node", F.col("root").alias("grp"))
         members = written(left.select("node", "root").distinct().join(groups, "node"), "members")
         links = links.unionByName(written(_settled(members, texts, similar, weighted, block), "links"))
+        drop_table(members)
         roots = connected_components(links)
+    for done in (buckets, texts, open_keys, left):
+        drop_table(done)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = written(named.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
     classes = named.join(least, "root").select("node", "class_id", "root")

@@ -17,7 +17,7 @@ in a window is chosen by content, so equal windows choose the same one at the sa
 A gram with more than ``HOT`` occurrences isn't sorted in one task: its rows are split by the content of
 their windows, counted with map-side combining.
 
-Defined results: null text counts as empty and repeats nothing; texts shorter than a window repeat
+Defined results: ids are integers; null text counts as empty and repeats nothing; texts of any length are searched whole; texts shorter than a window repeat
 nothing, copies of each other included; rows with the same id and text count as copies; null ids come last;
 words of the first occurrence stay, also where it overlaps a later one (as in a text of one word, over
 and over); an empty table gives an empty result; other columns are passed on by ``remove_repeats``.
@@ -32,16 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text
-from ._spark import put_back, set_aside, written
+from ._spark import drop_table, put_back, set_aside, written
 
 MIN_WORDS = 50
 ANCHOR = 16
 #: Occurrences of one gram that a single task sorts.
-HOT = 200_000
+HOT = 1_000
 #: Rows that one kernel call sorts; the rows of one gram stay together.
-CHUNK = 50_000
+CHUNK = 10_000
 _LAST = (1 << 63) - 1
 
 
@@ -133,14 +134,14 @@ def _occurrences(texts: DataFrame, size: int, gram: int, scoped: bool) -> DataFr
                 count = np.diff(lists.offsets.to_numpy())
                 pick = flat + np.repeat(at[:-1], count)
                 doc = np.repeat(np.arange(len(block)), count)
-                short = np.maximum((h >> np.uint64(32)).astype("<u4"), 1)
-                for k in range(0, len(pick), 8192):
-                    p, d = pick[k : k + 8192], doc[k : k + 8192]
+                whole = np.maximum(h, np.uint64(1)).astype("<u8")
+                for k in range(0, len(pick), 4096):
+                    p, d = pick[k : k + 4096], doc[k : k + 4096]
                     n = hi[p] + size - lo[p]
                     begin = np.cumsum(n) - n
                     index = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(lo[p], n)
-                    ends = np.append(begin, n.sum()).astype(np.int32) * 4
-                    data = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(short[index].tobytes())])
+                    ends = np.append(begin, n.sum()).astype(np.int32) * 8
+                    data = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(whole[index].tobytes())])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(g[p].astype(np.int64)),
@@ -168,17 +169,17 @@ def sorted_matches(rows: pa.RecordBatch, size: int, distinct: bool = False) -> p
     before, windows = (rows.column(c).to_numpy().astype(np.int64) for c in ("before", "windows"))
     n, most = len(grams), int(before.max(initial=0))
     words = rows.column("words")
-    data = np.frombuffer(words.buffers()[2], "<u4") if words.buffers()[2] is not None else np.zeros(0, "<u4")
-    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64) // 4
+    data = np.frombuffer(words.buffers()[2], "<u8") if words.buffers()[2] is not None else np.zeros(0, "<u8")
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64) // 8
     length = np.diff(at) - before  # from the gram on
     col = np.arange(size)
-    right = np.where(col < length[:, None], data[np.minimum(at[:-1, None] + before[:, None] + col, len(data) - 1)], 0).astype(">u4")
+    right = np.where(col < length[:, None], data[np.minimum(at[:-1, None] + before[:, None] + col, len(data) - 1)], 0).astype(">u8")
     col = np.arange(most)
-    left = np.where(col < before[:, None], data[np.maximum(at[:-1, None] + before[:, None] - 1 - col, 0)], 0).astype(np.uint64)
-    suffix = np.concatenate((grams.astype(">i8").view(">u4").reshape(n, 2), right), axis=1)
-    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{suffix.shape[1] * 4}").ravel(), kind="stable")
+    left = np.where(col < before[:, None], data[np.maximum(at[:-1, None] + before[:, None] - 1 - col, 0)], 0)
+    suffix = np.concatenate((grams.astype(">i8").view(">u8").reshape(n, 1), right), axis=1)
+    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{suffix.shape[1] * 8}").ravel(), kind="stable")
     same = suffix[order[1:]] == suffix[order[:-1]]
-    common = np.where(same.all(axis=1), size + 2, np.argmin(same, axis=1)) - 2  # -2 or -1: another gram
+    common = np.where(same.all(axis=1), size + 1, np.argmin(same, axis=1)) - 1  # -1: another gram
     turn = np.lexsort((place, keys, ids))
     rank = np.empty(n, np.int64)
     rank[turn] = np.arange(n)
@@ -268,19 +269,20 @@ def _split_groups(rows: DataFrame, size: int, distinct: bool) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 b = batch.slice(k, 4096)
-                h = [np.frombuffer(x, "<u4").astype(np.uint64) for x in b.column("words").to_pylist()]
+                h = [np.frombuffer(x, "<u8") for x in b.column("words").to_pylist()]
                 off = np.cumsum([0, *map(len, h)])
                 value, at = _text.windows(np.concatenate(h), off, size)
                 row = np.searchsorted(off, at, side="right") - 1
                 start = b.column("place").to_numpy()[row] - b.column("before").to_numpy()[row] + at - off[row]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), b.column("key").take(take), b.column("id").take(take), pa.array(start)], ["window", "key", "id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column("gram").take(take), pa.array(value.view(np.int64)), b.column("key").take(take), b.column("id").take(take), pa.array(start)], ["gram", "window", "key", "id", "s"])
 
-    flat = rows.mapInArrow(run, "window bigint, key bigint, id bigint, s bigint")
+    flat = rows.mapInArrow(run, "gram bigint, window bigint, key bigint, id bigint, s bigint")
     place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "key", "s")
-    first = flat.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("f"), (F.min("key") != F.max("key")).alias("several"))
+    # (two hashes of 64 bits tell windows apart: that of the gram, and that of all words)
+    first = flat.groupBy("gram", "window").agg(F.count("*").alias("n"), F.min(place).alias("f"), (F.min("key") != F.max("key")).alias("several"))
     first = written(first.where("several" if distinct else "n > 1").drop("several"), "windows")
-    both = flat.join(first, "window")
+    both = flat.join(first, ["gram", "window"])
     later = (F.col("key") != F.col("f.key")) | (F.col("s") != F.col("f.s"))
     near = later & (F.col("key") == F.col("f.key")) & (F.col("s") - F.col("f.s") < size)
     pick = lambda c, x: F.when(c, x).otherwise(-1)
@@ -294,7 +296,7 @@ _SPANS = "array<struct<start:bigint,end:bigint,first_id:bigint>>"
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """(key, repeats, removed): the spans of each document in words. A document's rows are as many as its minimisers at most."""
+    """(key, repeats, removed): the spans of each document in words. A document's rows are as many as its words at most."""
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,11 +336,14 @@ def find_repeats(
     ``removed`` leaves out what is a first occurrence. One row for each distinct (id, text) of ``docs``. With ``scope_col``
     only texts of equal scope are compared; with ``distinct`` a window must stand in two different texts, and equal ones
     are one, that has one row."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer: the first occurrence is that of the least one")
     scoped = scope_col is not None
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *([F.coalesce(scope_col, F.lit("")).alias("scope")] if scoped else []))
     rows = written(_grams(base, min_words, anchor, scoped), "grams")
     # equal texts: the row of the smallest id stands for all
-    texts = rows.groupBy("node").agg(F.min("id").alias("least"), (F.lit(1) if distinct else F.count("*")).alias("copies"))
+    # (written: then the rows of a very common text can be split over tasks in the joins)
+    texts = written(rows.groupBy("node").agg(F.min("id").alias("least"), (F.lit(1) if distinct else F.count("*")).alias("copies")), "texts")
     own = rows.join(texts, "node").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
     own = written(own.select(F.monotonically_increasing_id().alias("key"), "id", "node", "n_words", "copies", "grams"), "own")
     flat = own.select("key", F.posexplode("grams").alias("i", "gram"))
@@ -346,6 +351,7 @@ def find_repeats(
     repeated = written(flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     kept = flat.join(repeated, "gram").groupBy("key").agg(F.collect_list(F.struct("i", "n")).alias("p"))
     kept = written(own.drop("grams", "copies").join(kept, "key"), "kept")
+    drop_table(repeated)
     whole = base.withColumnRenamed("id", "_id").withColumn("text", F.coalesce("text", F.lit("")))
     whole = whole.withColumn("_node", digest("text", "scope" if scoped else None))
     both = whole.join(kept, F.col("_node").eqNullSafe(F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
