@@ -4,7 +4,7 @@
    *aside* (inside menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, by element, role or class
    names) or *open* (neither). A page's token stream is its main blocks, or its open ones if it has no main block.
 2. The pages of a host are dealt by the digests of their texts into parts of about ``PART_PAGES`` pages or ``PART_BYTES``
-   bytes, so that a host with very many pages is no single task. In each part the streams are concatenated and
+   bytes of HTML, so that a host with very many pages is no single task. In each part the streams are concatenated and
    sorted as suffixes; neighbours with ``RUN`` words in common are repeats. Those on half the pages of the part
    (and two at least) are boilerplate there. Equal texts are one page, and so are near copies (``NEAR``): if boilerplate
    covers half of a page, it is compared with the others of which that is true.
@@ -31,15 +31,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import written
+from ._spark import partitions, written
 from .fm_index import suffix_order
 from .near_dup import element_sets, spanning_links
 
@@ -50,10 +50,13 @@ SHARE = 0.5
 MAIN_PAGES = 4
 #: Similarity of near copies (of sets of 5-word shingles).
 NEAR = 0.6
-#: Pages and bytes of text of a part, about; it has LEAST_PAGES pages if these have more bytes.
+#: Pages and bytes of HTML of a part, about; it has LEAST_PAGES pages if these have more bytes.
 PART_PAGES = 512
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 LEAST_PAGES = 16
+#: Bytes of text that a task gathers before it packs them, and bytes of HTML whose texts one task compares, about.
+HELD = 24 << 20
+TASK_BYTES = 8 << 20
 
 # Elements and names of the HTML standard and common practice.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -259,51 +262,58 @@ def blocks_of(html: str) -> tuple[list[str], list[str]]:
     return main, open_
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return urlsplit(url or "").hostname or (url or "")
-    except ValueError:
-        return url or ""
+def host_of(url: str) -> Column:
+    """The host of a URL; a URL without one is a host of its own name."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.when(host != "", host).otherwise(F.coalesce(F.col(url), F.lit("")))
 
 
-_PARSED = "page_id {}, url string, text string, declared boolean, host string, node binary"
+def text_of(html: str | None) -> tuple[str, bool]:
+    """The joined main blocks of a page and True, or the joined open blocks of a page without such and False."""
+    main, open_ = blocks_of(html or "")
+    return "\n".join(main or open_), bool(main)
 
 
-def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, text, declared, host, node): the joined main blocks, or the joined open blocks of a page without such;
-    node is the digest of text and host."""
+_STREAMS = "host string, part bigint, nodes binary, sizes binary, texts binary"
+
+
+def streams(pages: DataFrame, part_pages: int, part_bytes: int) -> DataFrame:
+    """(host, part, nodes, sizes, texts) from (host, url, html): texts of some pages of a part, as one zstandard frame,
+    their sizes in bytes and their digests. A task sends equal texts of a host once, so a text that very many pages have
+    is no large group."""
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size"))
+    parts = F.greatest(F.ceil(F.col("n") / part_pages), F.least(F.ceil(F.col("size") / part_bytes), F.ceil(F.col("n") / LEAST_PAGES)))
+    # only hosts of several parts: at most one for each PART_PAGES pages; written, so that Spark knows the size when it chooses the join
+    several = written(hosts.select("host", parts.alias("parts")).where("parts > 1"), "hosts")
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        seen: set[bytes] = set()
+        held: dict[tuple[str, int], list[tuple[bytes, bytes]]] = {}
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            rows = [(h, p, b"".join(n for n, _ in x), np.array([len(t) for _, t in x], "<u8").tobytes(), z.compress(b"".join(t for _, t in x))) for (h, p), x in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), *[pa.binary()] * 3])], [x.split()[0] for x in _STREAMS.split(", ")])
+
         for batch in batches:
-            for part in _text.parts(batch, 2, 2 << 20):
-                texts, declared, hosts, nodes = [], [], [], []
-                for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    main, open_ = blocks_of(html or "")
-                    texts.append("\n".join(main or open_))
-                    declared.append(bool(main))
-                    hosts.append(host_of(url))
-                    nodes.append(hashlib.md5(f"{texts[-1]}\x00{hosts[-1]}".encode(errors="surrogatepass"), usedforsecurity=False).digest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.bool_()), pa.array(hosts, pa.string()), pa.array(nodes, pa.binary())],
-                    ["page_id", "url", "text", "declared", "host", "node"],
-                )
-
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, _PARSED.format(pages.schema[id_col].dataType.simpleString()))
-
-
-def in_parts(parsed: DataFrame, part_pages: int, part_bytes: int) -> DataFrame:
-    """(host, part, node, text), a row for each text of a host. Copies are few after each task has combined its own, so a
-    text that very many pages have is no large group."""
-    texts = parsed.where("text <> ''")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
-    hosts = hosts.select("host", F.greatest(F.ceil(F.col("n") / part_pages), F.least(F.ceil(F.col("size") / part_bytes), F.ceil(F.col("n") / LEAST_PAGES))).alias("parts"))
-    # only hosts of several parts: at most one for each PART_PAGES pages; written, so that Spark knows the size when it chooses the join
-    several = written(hosts.where("parts > 1"), "hosts")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    own = texts.join(several, "host", "left").select("host", part.alias("part"), "node", "text")
-    return own.groupBy("host", "part", "node").agg(F.first("text").alias("text"))
+            for part in _text.parts(batch, 1, 1 << 20):
+                for host, html, parts in zip(*(c.to_pylist() for c in part.columns)):
+                    text = text_of(html)[0].encode(errors="replace")
+                    node = hashlib.md5(host.encode() + b"\x00" + text, usedforsecurity=False).digest()
+                    if not text or node in seen:
+                        continue
+                    seen.add(node)
+                    held.setdefault((host, int.from_bytes(node[:8], "little") % (parts or 1)), []).append((node, text))
+                    size += len(text)
+                if size >= HELD:
+                    yield packed()
+                    held, size = {}, 0
+        if held:
+            yield packed()
+
+    return pages.join(several, "host", "left").select("host", "html", "parts").mapInArrow(run, _STREAMS)
 
 
 def window_pages(texts: pa.Array, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,37 +384,40 @@ def part_boilerplate(texts: pa.Array, run_words: int) -> tuple[int, np.ndarray,
             label[label == max(x, y)] = min(x, y)
 
 
-def boilerplate(parsed: DataFrame, run_words: int, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
+def boilerplate(pages: DataFrame, run_words: int, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(host, windows): the boilerplate of each host that has some, with the pages that each window stands on."""
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        z = zstandard.ZstdDecompressor()
+        held: dict[bytes, bytes] = {}
+        last = None
 
-        def settled() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            pages, window, support = part_boilerplate(_text.text_array(rows.column(2)), run_words) if rows.num_rows > 1 else (1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def settled() -> pa.RecordBatch:
+            # (in an order that doesn't depend on how the rows came)
+            texts = pa.array([held[x] for x in sorted(held)], pa.large_binary()).view(pa.large_string())
+            pages, window, support = part_boilerplate(texts, run_words) if len(held) > 1 else (1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
             n = len(window) + 1  # a row for the part itself
             values = pa.array(np.append(window.view(np.int64), 0), mask=np.append(np.zeros(n - 1, bool), True))
-            yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks().take(pa.array(np.zeros(n, np.int64))), values, pa.array(np.append(support, 0).astype(np.int64)), pa.array(np.full(n, pages, np.int64))], ["host", "window", "support", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array([last[0]] * n), values, pa.array(np.append(support, 0).astype(np.int64)), pa.array(np.full(n, pages, np.int64))], ["host", "window", "support", "pages"])
 
-        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(edges, edges[1:]):
-                if held and keys[a] != last:
-                    yield from settled()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = keys[a]
+            for host, part, nodes, sizes, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, part) != last:
+                    if held:
+                        yield settled()
+                    held, last = {}, (host, part)
+                at = np.append(0, np.cumsum(np.frombuffer(sizes, "<u8").astype(np.int64))).tolist()
+                flat = z.decompress(texts)
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    held.setdefault(nodes[16 * k : 16 * k + 16], flat[a:b])
         if held:
-            yield from settled()
+            yield settled()
 
-    texts = in_parts(parsed, part_pages, part_bytes).repartition("host", "part").sortWithinPartitions("host", "part", "node")
-    found = written(texts.select("host", "part", "text").mapInArrow(run, "host string, window bigint, support bigint, pages bigint"), "parts")
+    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    rows = streams(pages, part_pages, part_bytes)
+    rows = rows.repartition(max(partitions(pages.sparkSession), -(-total // TASK_BYTES)), "host", "part").sortWithinPartitions("host", "part")
+    found = written(rows.mapInArrow(run, "host string, window bigint, support bigint, pages bigint"), "parts")
     total = found.where("window is null").groupBy("host").agg(F.sum("pages").alias("total"))
     common = found.where("window is not null").groupBy("host", "window").agg(F.sum("support").alias("support"), F.sum("pages").alias("pages"))
     sure = common.join(total, "host").where((F.col("support") >= 2) & (F.col("pages") >= F.col("total") * SHARE))
@@ -457,19 +470,22 @@ def without_blocks(text: str, spans: list[dict]) -> str:
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run_words: int = RUN, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    parsed = written(parse_pages(pages, id_col, url_col, html_col), "parsed")
-    both = parsed.join(boilerplate(parsed, run_words, part_pages, part_bytes), "host", "left").select("page_id", "url", "text", "declared", "windows")
-    kind = parsed.schema["page_id"].dataType.simpleString()
+    """(page_id, url, text, n_chars) of every page. The HTML is read again for the text, which is less than to keep it."""
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    own = own.withColumn("host", host_of("url"))
+    found = boilerplate(own.select("host", "html"), run_words, part_pages, part_bytes)
+    kind = pages.schema[id_col].dataType.simpleString()
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for t, declared, windows in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                spans = spans_of(t, windows, run_words) if t and windows else []
-                texts.append(t if not spans else without_blocks(t, spans) if declared else without_words(t, spans, run_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    done = both.mapInArrow(run, f"page_id {kind}, url string, text string")
+            for part in _text.parts(batch, 2, 1 << 20):
+                texts = []
+                for html, windows in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    text, declared = text_of(html)
+                    spans = spans_of(text, windows, run_words) if text and windows else []
+                    texts.append(text if not spans else without_blocks(text, spans) if declared else without_words(text, spans, run_words))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    done = own.join(found, "host", "left").select("page_id", "url", "html", "windows").mapInArrow(run, f"page_id {kind}, url string, text string")
     return done.withColumn("n_chars", F.length("text").cast("bigint"))
