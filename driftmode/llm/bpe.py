@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from . import _text
 from ._spark import without
 
-#: Bytes, about, of a worker's memo of pieces, and of that of token pairs; a memo goes when its task ends.
-PIECE_BYTES = 24 << 20
-PAIR_BYTES = 12 << 20
+#: Bytes, about, of a worker's memo of pieces, and of that of token pairs: all that a worker keeps beside the vocabulary.
+PIECE_BYTES = 64 << 20
+PAIR_BYTES = 48 << 20
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
 #: Characters below this one have a pattern of their own, which is faster.
@@ -94,36 +94,37 @@ _ENTRY = 200
 
 class Remembered(dict):
     """A memo of ``make`` of at most about ``limit`` bytes: two generations, of which the older one is dropped when the
-    younger has half of them. Its bytes are counted by ``weigh``."""
+    younger has half of them. ``sized`` says that keys and values have lengths."""
 
-    def __init__(self, make, limit: int, weigh=lambda key, value: _ENTRY):
+    def __init__(self, make, limit: int, sized: bool = False):
         super().__init__()
-        self.make, self.limit, self.weigh, self.old, self.held = make, limit, weigh, {}, 0
+        self.make, self.half, self.sized, self.old, self.held = make, limit // 2, sized, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put_all({key: value})
+        if self.held > self.half:
+            self._turn()
+        self.held += _ENTRY + len(key) + len(value) if self.sized else _ENTRY
+        self[key] = value
         return value
 
+    def _turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+        self.held = 0
+
     def put_all(self, found: dict) -> None:
         """Entries that are needed together stay together."""
-        more = sum(map(self.weigh, found, found.values()))
-        if 2 * (self.held + more) > self.limit and self.held:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        self.held += more
+        if self.held > self.half:
+            self._turn()
+        self.held += _ENTRY * len(found) + (sum(map(len, found)) + sum(map(len, found.values())) if self.sized else 0)
         self.update(found)
 
     def forget(self) -> None:
-        self.clear()
-        self.old, self.held = {}, 0
-
-
-def by_length(key, value) -> int:
-    return _ENTRY + len(key) + len(value)
+        self._turn()
+        self.old = {}
 
 
 @functools.lru_cache(maxsize=1)
@@ -158,7 +159,7 @@ class Vocabulary:
             b = self.tokens[i]
             self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if ranks.get(b[:n]) in made), -1)
         self.may_follow = Remembered(self._may_follow, PAIR_BYTES)
-        self.pieces = Remembered(self._piece, PIECE_BYTES, by_length)
+        self.pieces = Remembered(self._piece, PIECE_BYTES, True)
 
     def _may_follow(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
@@ -231,8 +232,8 @@ def vocabulary(path: str, pattern: str = PATTERN, classes: Classes | None = None
 _AT_ONCE = 1 << 20
 
 
-def _map_column(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.DataType]], work, after=lambda: None) -> DataFrame:
-    """``df`` with columns that ``work(list of values) -> lists`` makes from ``column``; ``after`` ends a task."""
+def _map_column(df: DataFrame, column: str, added: list[tuple[str, T.DataType, pa.DataType]], work) -> DataFrame:
+    """``df`` with columns that ``work(list of values) -> lists`` makes from ``column``."""
     df = without(df, *(name for name, _, _ in added))
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind, _ in added)])
     at = df.columns.index(column)
@@ -240,13 +241,10 @@ def _map_column(df: DataFrame, column: str, added: list[tuple[str, T.DataType, p
 
     @_text.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                for part in _text.parts(batch, at, _AT_ONCE):
-                    made = [pa.array(x, arrow) for x, (_, _, arrow) in zip(work(part.column(at).to_pylist()), added)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
-        finally:
-            after()
+        for batch in batches:
+            for part in _text.parts(batch, at, _AT_ONCE):
+                made = [pa.array(x, arrow) for x, (_, _, arrow) in zip(work(part.column(at).to_pylist()), added)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -262,7 +260,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_
         return [ids, [v.decode(x) for x in ids]] if decoded_col else [ids]
 
     added = [(c, T.BinaryType(), pa.binary()) for c in (ids_col, decoded_col) if c]
-    return _map_column(docs, text_col, added, work, lambda: vocabulary(path, pattern, classes).forget())
+    return _map_column(docs, text_col, added, work)
 
 
 def decode_documents(docs: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -38,8 +38,8 @@ LEAF = 64
 FULL = 4 * LEAF
 #: Characters before an edit from which on pieces may change.
 CONTEXT = 8
-#: Bytes, about, of a worker's memo of pieces; it goes when its task ends.
-PIECE_BYTES = 24 << 20
+#: Bytes, about, of a worker's memo of pieces.
+PIECE_BYTES = 64 << 20
 #: Bytes of texts that are worked on at once.
 _AT_ONCE = 1 << 20
 
@@ -197,7 +197,6 @@ def build_trees(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFr
                 trees = [build(t or "", c) for t in part.column(at).to_pylist()]
                 made = [pa.array([t.pack() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "tree", "n_tokens"])
-        c.pieces.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -232,6 +231,5 @@ def apply_edits(docs: DataFrame, path: str, *, text_col: str = "text", edits_col
                 columns[count_at] = pa.array([t.tokens for t in trees], pa.int64())
                 kept = [i for i in range(len(names)) if i != edits_at]
                 yield pa.RecordBatch.from_arrays([*(columns[i] for i in kept), pa.array(encoded, pa.int64())], names=[*(names[i] for i in kept), "n_encoded"])
-        c.pieces.forget()
 
     return docs.mapInArrow(run, schema)

@@ -41,14 +41,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _files, _text
 from ._spark import fresh_dir, written
-from .bpe import LONG_PIECE, Classes, Remembered, Splitter, by_length, library_classes
+from .bpe import LONG_PIECE, Classes, Remembered, Splitter, library_classes
 
 BLOCK = 1 << 16
 LEVEL = 3
 #: Ids after which a new file is begun.
 FILE_IDS = 1 << 26
-#: Bytes, about, of a worker's memo of pieces; it goes when its task ends.
-PIECE_BYTES = 48 << 20
+#: Bytes, about, of a worker's memo of pieces.
+PIECE_BYTES = 96 << 20
 #: Bytes of texts that are encoded at once.
 _AT_ONCE = 2 << 20
 _MAGIC = b"PLN2"
@@ -210,7 +210,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = Splitter(classes=classes)
-        self.pieces = Remembered(lambda p: self._ids([p])[0], PIECE_BYTES, by_length)
+        self.pieces = Remembered(lambda p: self._ids([p])[0], PIECE_BYTES, True)
         words = self.tokenizer.get_vocab()
         self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of a token: it is written with one character for each
         self.size[list(words.values())] = [len(w) for w in words]
@@ -301,7 +301,6 @@ def write_ids(
                     writer, number = None, number + 1
         if writer is not None:
             yield closed()
-        encoder.pieces.forget()
 
     # (a task's number, and a file's within its task, order the files; a batch has rows of one task)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
