@@ -36,8 +36,8 @@ from . import _text
 from ._spark import without
 
 #: Bytes, about, of a worker's memo of pieces, and of that of token pairs: all that a worker keeps beside the vocabulary.
-PIECE_BYTES = 64 << 20
-PAIR_BYTES = 48 << 20
+PIECE_BYTES = 96 << 20
+PAIR_BYTES = 80 << 20
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
 #: Characters below this one have a pattern of their own, which is faster.
