@@ -48,7 +48,7 @@ LEVEL = 3
 #: Ids after which a new file is begun.
 FILE_IDS = 1 << 26
 #: Bytes, about, of a worker's memo of pieces.
-PIECE_BYTES = 96 << 20
+PIECE_BYTES = 160 << 20
 #: Bytes of texts that are encoded at once.
 _AT_ONCE = 2 << 20
 _MAGIC = b"PLN2"
