@@ -58,6 +58,9 @@ def mean_shift_points(points: DataFrame, queries: DataFrame, h: float, kernel: s
     sc = points.sparkSession.sparkContext
     out, ids, rows, held = None, [], [], 0
 
+    if kernel not in ("uniform", "gaussian"):
+        raise ValueError(f"no such kernel for a mean-shift step: {kernel}")
+
     def block() -> DataFrame:
         q = np.array(rows, np.float64)
         sent = sc.broadcast((list(ids), q))

@@ -6,6 +6,8 @@ Pixel queries use the images that ``table_image`` derives from all of ``orders``
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ from .operators import density as D
 from .operators import mean_shift as M
 from .operators import regions as R
 from .operators.components import _saved
-
+from .params import DEFAULT
 from .plans.segmentation import filter_pixels, labelled
+from .session import shared_dir
 from .sources import sinks
-from .sources.images import table_image
+from .sources.images import read_images, table_image
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,6 +143,7 @@ reg{k + 1} AS MATERIALIZED (SELECT r.image_id, t.fresh AS label, {mean("l")}, {m
 _FUSED = ", ".join([_LABELS, *(x for k in (0, 1) for x in (_adjacent_sql(k), _fusable_sql(k), _merge_sql(k)))])
 _PRUNES = 6
 _PRUNED = ", ".join([_FUSED, *(x for k in range(2, 2 + _PRUNES) for x in (_adjacent_sql(k), _smallest_sql(k), _merge_sql(k)))])
+_DONE = 2 + _PRUNES
 _EDGE = f"""edge AS (SELECT image_id, label, idx FROM (SELECT *, lag(label) OVER r AS a, lead(label) OVER r AS b, lag(label) OVER c AS d, lead(label) OVER c AS e
   FROM lab2 WINDOW r AS (PARTITION BY image_id, idx // {W} ORDER BY idx), c AS (PARTITION BY image_id, idx % {W} ORDER BY idx))
   WHERE a IS DISTINCT FROM label OR b IS DISTINCT FROM label OR d IS DISTINCT FROM label OR e IS DISTINCT FROM label)"""
@@ -340,6 +344,56 @@ def boundary_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.boundary_image(labels, R.boundary_pixels(labels, W))
 
 
+# --- the finished segmentation: fused, pruned, painted, outlined ---
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return R.prune_regions(*_fused(spark, sf_dir), W)
+
+
+@query(_with(_PRUNED, f"SELECT image_id, idx, label FROM lab{_DONE}"))
+def pruned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir)[0]
+
+
+_PAINTED = f"{_PRUNED}, seg AS (SELECT a.image_id, a.idx, r.l, r.u, r.v FROM lab{_DONE} a JOIN reg{_DONE} r ON r.image_id = a.image_id AND r.label = a.label)" + _BACK.removeprefix(_LUV).replace("FROM luv", "FROM seg")
+
+
+@query(_with(_PAINTED, "SELECT image_id, idx, " + ", ".join(_BYTE.format(*m).replace("+ -", "- ") + f" AS {n}" for m, n in zip(C.XYZ_TO_RGB, "rgb")) + " FROM z"))
+def pruned_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel in the colour of its region."""
+    return C.luv_to_rgb(R.paint(*_pruned(spark, sf_dir))).select("image_id", "idx", "r", "g", "b")
+
+
+_PRUNED_EDGE = f"{_PRUNED}, {_EDGE.replace('lab2', f'lab{_DONE}')}"
+
+
+@query(_with(_PRUNED_EDGE, f"SELECT a.image_id, a.idx, CASE WHEN e.idx IS NULL THEN 255 ELSE 0 END AS dark_edge, CASE WHEN e.idx IS NULL THEN 0 ELSE 255 END AS light_edge FROM lab{_DONE} a LEFT JOIN edge e ON e.image_id = a.image_id AND e.idx = a.idx"))
+def pruned_boundary_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the finished regions, dark on light and light on dark."""
+    labels, _ = _pruned(spark, sf_dir)
+    edge = R.boundary_pixels(labels, W)
+    dark, light = (R.boundary_image(labels, edge, replace(DEFAULT, edge_value=a, background_value=255 - a)) for a in (0, 255))
+    return dark.withColumnRenamed("value", "dark_edge").join(light.withColumnRenamed("value", "light_edge"), ["image_id", "idx"])
+
+
+@query(_with(_PRUNED_EDGE, "SELECT image_id, label, count(*) AS n FROM edge GROUP BY image_id, label"))
+def pruned_boundary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.boundary_offsets(R.boundary_pixels(_pruned(spark, sf_dir)[0], W)).select("image_id", "label", "n")
+
+
+@query(_with(_PX, "SELECT image_id, idx, r, g, b, g AS grey FROM px"))
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images written as PPM and PGM files and read back by a pattern."""
+    px, folder = pixels(spark, sf_dir), f"{shared_dir(spark)}/images-{uuid4().hex}"
+    sinks.write_images(px, folder, "-colour").unionByName(sinks.write_images(px.select("image_id", "x", "y", F.col("g").alias("value")), folder, "-grey")).collect()
+    number = F.regexp_extract("image_id", r"(\d+)-(?:colour|grey)\.p[gp]m$", 1).cast("bigint").alias("image_id")
+    colour = read_images(spark, folder, glob="*.ppm", channels=3).select(number, "x", "y", "r", "g", "b")
+    grey = read_images(spark, folder, channels=1).select(number, "x", "y", F.col("r").alias("grey"))
+    own = px.select("image_id", "idx", "x", "y")
+    return own.join(colour, ["image_id", "x", "y"], "left").join(grey, ["image_id", "x", "y"], "left").select("image_id", "idx", "r", "g", "b", "grey")
+
+
 # --- sinks as tables -------------------------------------------------------------------------------------------
 
 
