@@ -40,7 +40,7 @@ from ._spark import drop_table, put_back, set_aside, written
 MIN_WORDS = 50
 ANCHOR = 16
 #: Occurrences of one gram that a single task sorts.
-HOT = 1_000
+HOT = 20_000
 #: Rows that one kernel call sorts; the rows of one gram stay together.
 CHUNK = 10_000
 _LAST = (1 << 63) - 1
