@@ -45,7 +45,7 @@ SIMILAR = 0.8
 BANDS = 20
 BAND_DARTS = 4
 #: Nodes of a group, and bytes of their texts, that one task compares with as many others.
-BLOCK = 500
+BLOCK = 1500
 BLOCK_BYTES = 4 << 20
 
 
