@@ -307,6 +307,15 @@ def test_model_takes_odd_rows(docs, empty, spark):
     assert quality_model.score_features(features, none).count() == docs.count()
 
 
+def test_the_sample_is_that_of_the_least_hashes(spark, sf, monkeypatch):
+    featured = quality_model.add_features(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality_model, "fit", lambda x, y: (x, y))
+    known = labels.where(~quality_model.held_out("doc_id")).join(featured, "doc_id").orderBy(F.xxhash64("doc_id")).limit(20).collect()
+    x, y = quality_model.train(featured, labels, max_rows=20)
+    assert y.tolist() == [r.quality for r in known] and x.tolist() == [r.features for r in known]
+
+
 def test_pairs_find_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
