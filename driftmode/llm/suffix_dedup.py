@@ -355,10 +355,16 @@ def find_repeats(
     whole = base.withColumnRenamed("id", "_id").withColumn("text", F.coalesce("text", F.lit("")))
     whole = whole.withColumn("_node", digest("text", "scope" if scoped else None))
     both = whole.join(kept, F.col("_node").eqNullSafe(F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
+    # written, so that the texts are shuffled once for both ways
+    scope = ["scope"] if scoped else []
+    both = written(both.select("key", "id", "text", "p", *scope), "repeated-texts")
+    drop_table(kept)
     pick = lambda c: F.transform(F.filter("p", c), lambda x: x["i"])
     found = _sorted_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] <= hot)), min_words, anchor, scoped), min_words, distinct)
-    if not kept.where(F.exists("p", lambda x: x["n"] > hot)).isEmpty():
-        found = found.unionByName(_split_groups(_occurrences(both.withColumn("picked", pick(lambda x: x["n"] > hot)), min_words, anchor, scoped), min_words, distinct))
+    often = both.where(F.exists("p", lambda x: x["n"] > hot))
+    if not often.isEmpty():
+        rows_of_hot = written(_occurrences(often.withColumn("picked", pick(lambda x: x["n"] > hot)), min_words, anchor, scoped), "hot")
+        found = found.unionByName(_split_groups(rows_of_hot, min_words, distinct))
     spans = _merged(found)
     # a text with copies is a repeat from end to end; its first document keeps it
     all_words = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.col("least").alias("first_id")))
