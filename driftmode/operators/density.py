@@ -9,9 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .components import _saved, drop_table
 
 #: Bytes of query rows that may travel to every task.
 QUERY_BYTES = 64 << 20
+#: Queries and points that a task compares at once.
+TILE = 1024
+#: Weights of a mean-shift step by the squared distance in bandwidths: the shadow of the kernel that is climbed.
+STEP_WEIGHTS = {
+    "uniform": lambda d: (d < 1).astype(np.float64),
+    "gaussian": lambda d: np.exp(-0.5 * d),
+    "epanechnikov": lambda d: np.maximum(1.0 - d, 0.0),
+}
 
 
 def profile(kernel: str, q: Column) -> Column:
@@ -53,13 +64,16 @@ def mean_shift_points(points: DataFrame, queries: DataFrame, h: float, kernel: s
 
     Queries are a stated set against all rows: their rows travel to every task in blocks of ``QUERY_BYTES``. A
     task adds up its weights and weighted vectors for each query, so what is shuffled is a row for each query and task.
-    The weight is 1 inside the bandwidth (uniform), or exp(-d^2 / 2h^2) (gaussian). A query without weight stays put.
+    The weight is 1 inside the bandwidth (uniform), 1 - d^2 / h^2 there (epanechnikov), or exp(-d^2 / 2h^2) (gaussian). A
+    query without weight stays put. Ids are of any type, unique and not null; null points weigh nothing.
     """
     sc = points.sparkSession.sparkContext
     out, ids, rows, held = None, [], [], 0
 
-    if kernel not in ("uniform", "gaussian"):
+    if kernel not in STEP_WEIGHTS:
         raise ValueError(f"no such kernel for a mean-shift step: {kernel}")
+    id_type = queries.schema[id_col].dataType
+    names_of = to_arrow_type(id_type)
 
     def block() -> DataFrame:
         q = np.array(rows, np.float64)
@@ -73,17 +87,20 @@ def mean_shift_points(points: DataFrame, queries: DataFrame, h: float, kernel: s
                 if not len(flat):
                     continue
                 x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-                for k in range(0, len(x), 1024):
-                    d = np.zeros((len(y), len(x[k : k + 1024])))
-                    for c in range(y.shape[1]):
-                        diff = (y[:, c, None] - x[None, k : k + 1024, c]) / h
-                        d += diff * diff
-                    w = (d < 1).astype(np.float64) if kernel == "uniform" else np.exp(-0.5 * d)
-                    total += w @ x[k : k + 1024]
-                    weight += w.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weight), pa.array(list(total), pa.list_(pa.float64()))], ["id", "weight", "total"])
-
-        sums = points.select(vector_col).mapInArrow(run, "id bigint, weight double, total array<double>")
+                for i in range(0, len(y), TILE):
+                    some = y[i : i + TILE]
+                    for k in range(0, len(x), TILE):
+                        near = x[k : k + TILE]
+                        d = np.zeros((len(some), len(near)))
+                        for c in range(y.shape[1]):
+                            diff = (some[:, c, None] - near[None, :, c]) / h
+                            d += diff * diff
+                        w = STEP_WEIGHTS[kernel](d)
+                        total[i : i + TILE] += w @ near
+                        weight[i : i + TILE] += w.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names, names_of), pa.array(weight), pa.array(list(total), pa.list_(pa.float64()))], ["id", "weight", "total"])
+
+        sums = points.select(vector_col).mapInArrow(run, f"id {id_type.simpleString()}, weight double, total array<double>")
         flat_sums = sums.select("id", "weight", F.posexplode("total").alias("c", "t")).groupBy("id", "c").agg(F.sum("weight").alias("weight"), F.sum("t").alias("t"))
         start = queries.select(F.col(id_col).alias("id"), F.posexplode(vector_col).alias("c", "y"))
         moved = flat_sums.join(start, ["id", "c"]).select("id", "c", "weight", F.when(F.col("weight") > 0, F.col("t") / F.col("weight")).otherwise(F.col("y").cast("double")).alias("z"))
@@ -104,6 +121,25 @@ def mean_shift_points(points: DataFrame, queries: DataFrame, h: float, kernel: s
     return out
 
 
+def mean_shift_modes(points: DataFrame, queries: DataFrame, h: float, kernel: str = "uniform", *, id_col: str, vector_col: str, epsilon: float = 1e-6, limit: int = 100) -> DataFrame:
+    """Mean-shift steps until a query moves by less than ``epsilon`` (squared length), ``limit`` of them at most: (id, steps,
+    mode, settled). Queries that have settled leave the loop; each round's state is a table in the shared folder."""
+    start = queries.select(F.col(id_col).alias("id"), F.lit(0).alias("steps"), F.col(vector_col).cast("array<double>").alias("mode"), F.lit(False).alias("settled"))
+    rest, out = _saved(start, "modes"), None
+    points = points.select(F.col(vector_col).alias("mode"))
+    for _ in range(limit):
+        step = mean_shift_points(points, rest, h, kernel, id_col="id", vector_col="mode").select("id", "shifted")
+        moved = F.aggregate(F.zip_with("mode", "shifted", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        after = _saved(rest.join(step, "id").select("id", (F.col("steps") + 1).alias("steps"), F.col("shifted").alias("mode"), (moved < epsilon).alias("settled")), "modes")
+        drop_table(rest)
+        done, rest = after.where("settled"), after.where("not settled")
+        out = done if out is None else out.unionByName(done)
+        if rest.isEmpty():
+            break
+        rest = _saved(rest, "modes")
+    return rest if out is None else out.unionByName(rest)
+
+
 def speedups(times: DataFrame) -> DataFrame:
     """From (pixels, fast_ms, slow_ms): speedup, pixels per ms, and that ratio over its greatest value."""
     ratio = F.col("pixels") / F.col("fast_ms")

@@ -7,6 +7,8 @@ shared folder after each pass.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..functions.color import quantised
 from ..params import DEFAULT, Params
 from .components import _saved, connected_components
 
+#: Pixels of a band of rows (two rows at least), which one task labels by itself.
+BAND_PIXELS = 1 << 16
+
 
 def similar_neighbours(pixels: DataFrame, width: int | Column, p: Params = DEFAULT) -> DataFrame:
     """Pairs (image_id, a, b), a < b, of touching pixels (eight neighbours) whose channels all differ by less than the threshold."""
@@ -43,9 +48,65 @@ def _components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.select("image_id", node).join(named, ["image_id", node], "left").select("image_id", node, F.coalesce("root", node).alias("root"))
 
 
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex of the component of each of ``n`` vertices, for links a[k], b[k]."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        new = root.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _label_band(idx: np.ndarray, luv: np.ndarray, width: int, p: Params) -> np.ndarray:
+    """The lowest index of each pixel's component, of the pixels given. Rows of one index are one pixel."""
+    names, node = np.unique(idx, return_inverse=True)
+    order = np.argsort(idx, kind="stable")
+    ahead, a, b = idx[order], [], []
+    for step in {1, width - 1, width, width + 1} - {0}:
+        target = idx + step
+        at, end = np.searchsorted(ahead, target, "left"), np.searchsorted(ahead, target, "right")
+        if not p.wrap_rows:
+            end = np.where(np.abs(idx % width - target % width) <= 1, end, at)
+        while len(one := np.flatnonzero(at < end)):
+            other = order[at[one]]
+            close = (np.abs(luv[one] - luv[other]) < p.luv_threshold).all(axis=1)
+            a.append(node[one[close]])
+            b.append(node[other[close]])
+            at = at + 1
+    none = [np.zeros(0, np.int64)]
+    return names[_smallest(len(names), np.concatenate(a or none), np.concatenate(b or none))[node]]
+
+
 def label_regions(pixels: DataFrame, width: int | Column, p: Params = DEFAULT) -> DataFrame:
-    """Labels of all pixels: (image_id, idx, label). Regions are the components of similar neighbours."""
-    return _dense(_components(pixels, similar_neighbours(pixels, width, p), "idx"), "idx", "root", "label")
+    """Labels of all pixels: (image_id, idx, label). Regions are the components of similar neighbours.
+
+    A task labels a band of rows by itself; only pixels that may touch another band are joined, and only
+    the bands' components that touch become vertices of the contraction. Rows without image_id or idx are left out."""
+    w = F.lit(width) if isinstance(width, int) else width
+    rows = pixels.where("image_id is not null and idx is not null").select("image_id", F.col("idx").cast("bigint").alias("idx"), "l", "u", "v", w.cast("bigint").alias("w"))
+    rows = rows.withColumn("size", F.greatest(F.lit(2), F.floor(F.lit(BAND_PIXELS) / F.col("w"))) * F.col("w")).withColumn("band", F.floor(F.col("idx") / F.col("size")))
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        idx, wide, size = frame["idx"].to_numpy(), int(frame["w"].iloc[0]), int(frame["size"].iloc[0])
+        place = idx % size
+        rim = (place >= size - wide - 1) | ((place <= wide) & (idx >= size))
+        return frame[["image_id", "idx", "l", "u", "v", "w"]].assign(root=_label_band(idx, frame[["l", "u", "v"]].to_numpy(np.float64), wide, p), rim=rim)
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    own = _saved(rows.groupBy("image_id", "band").applyInPandas(label, f"image_id {kind}, idx bigint, l double, u double, v double, w bigint, root bigint, rim boolean"), "bands")
+    rim = own.where("rim")
+    end = lambda k: rim.select("image_id", F.col("idx").alias(k), F.col("root").alias(f"root_{k}")).distinct()
+    links = similar_neighbours(rim, F.col("w"), p).join(end("a"), ["image_id", "a"]).join(end("b"), ["image_id", "b"]).where("root_a <> root_b")
+    links = _saved(links.select("image_id", F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    if links.isEmpty():
+        return _dense(own, "idx", "root", "label")
+    tops = _components(own.select("image_id", F.col("root").alias("part")).distinct(), links, "part")
+    return _dense(own.select("image_id", "idx", F.col("root").alias("part")).join(tops, ["image_id", "part"]), "idx", "root", "label")
 
 
 def region_table(pixels: DataFrame, labels: DataFrame) -> DataFrame:
@@ -77,7 +138,10 @@ def _with_modes(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def fusion_edges(edges: DataFrame, regions: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Adjacent regions whose modes are within the window of either one: (image_id, a, b), a < b."""
+    """Adjacent regions whose modes are within the window of either one: (image_id, a, b), a < b. Edges may have a column
+    ``strength``; strong ones (from ``strength_below`` on) part their regions, and so do null ones."""
+    if "strength" in edges.columns:
+        edges = edges.where(F.col("strength") < p.strength_below)
     both = _with_modes(edges.where("a < b"), regions)
     d = [(F.col(f"{c}a") - F.col(f"{c}b")) / F.lit(p.sigma_r) for c in "luv"]
     near = lambda k: F.when(F.col(f"l{k}") > p.bright, F.lit(4.0)).otherwise(F.lit(1.0)) * d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < p.fuse_below
@@ -152,9 +216,16 @@ def boundary_pixels(labels: DataFrame, width: int | Column) -> DataFrame:
     return edge.select("image_id", "label", "idx", pos.cast("bigint").alias("pos"))
 
 
+def checked_regions(regions: DataFrame) -> DataFrame:
+    """The same rows; the query fails at a negative or null label and at a region without pixels."""
+    bad = ~F.coalesce((F.col("label") >= 0) & (F.col("n") > 0), F.lit(False))
+    told = F.raise_error(F.format_string("region %s has %s pixels", F.col("label").cast("string"), F.col("n").cast("string")))
+    return regions.withColumn("n", F.when(bad, told.cast("bigint")).otherwise(F.col("n")))
+
+
 def boundary_offsets(boundary: DataFrame) -> DataFrame:
-    """Boundary pixels of each region, and those of all regions before: (image_id, label, n, off)."""
-    counts = boundary.groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    """Boundary pixels of each region, and those of all regions before: (image_id, label, n, off). Negative labels are refused."""
+    counts = checked_regions(boundary.groupBy("image_id", "label").agg(F.count("*").alias("n")))
     before = Window.partitionBy("image_id").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
 

@@ -24,6 +24,8 @@ class Params:
     bright: float = 80.0
     #: Region modes closer than this (squared, in bandwidths) are fused.
     fuse_below: float = 0.25
+    #: Edges of regions stronger than this part them, where edges have strengths.
+    strength_below: float = 1.0
     #: The last pixel of a row touches the first one of the next row, as index arithmetic has it.
     wrap_rows: bool = True
     #: Fusion passes; None repeats them until nothing changes.

@@ -497,6 +497,31 @@ def event_mode_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "weight", F.round(F.col("shifted")[0], 9).alias("hour"), F.round(F.col("shifted")[1], 9).alias("value"))
 
 
+MODE_STEPS, MODE_EPSILON = 5, 0.0004
+
+
+def _climb_sql(k: int) -> str:
+    """One more step of the queries that have not settled: s(k) from s(k - 1)."""
+    d = "((q.h - e.h) / 1e0) * ((q.h - e.h) / 1e0) + ((q.v - e.v) / 1e0) * ((q.v - e.v) / 1e0)"
+    return f"""m{k} AS MATERIALIZED (SELECT id, sum((1e0 - d) * eh) / sum(1e0 - d) AS h, sum((1e0 - d) * ev) / sum(1e0 - d) AS v FROM (SELECT q.id, e.h AS eh, e.v AS ev, {d} AS d FROM s{k - 1} q, e WHERE NOT q.settled) WHERE d < 1e0 GROUP BY id),
+s{k} AS MATERIALIZED (SELECT q.id, CASE WHEN q.settled THEN q.steps ELSE q.steps + 1 END AS steps, coalesce(m.h, q.h) AS h, coalesce(m.v, q.v) AS v,
+q.settled OR (coalesce(m.h, q.h) - q.h) * (coalesce(m.h, q.h) - q.h) + (coalesce(m.v, q.v) - q.v) * (coalesce(m.v, q.v) - q.v) < {MODE_EPSILON}e0 AS settled FROM s{k - 1} q LEFT JOIN m{k} m ON m.id = q.id)"""
+
+
+@query(
+    """WITH e AS MATERIALIZED (SELECT event_id, (hour(ts) + minute(ts) / 60e0 + microsecond(ts) / 3.6e9) / 3e0 AS h, value / 25e0 AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+s0 AS (SELECT event_id AS id, 0 AS steps, h, v, false AS settled FROM e WHERE event_id % 50 = 0),
+"""
+    + ",\n".join(_climb_sql(k) for k in range(1, MODE_STEPS + 1))
+    + f"\nSELECT id, steps, round(h, 6) AS hour, round(v, 6) AS value, settled FROM s{MODE_STEPS}"
+)
+def event_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epanechnikov weights in (hour of day, value), step by step until settled or five times: every id divisible by 50 against all events."""
+    rows = table(spark, sf_dir, "events").where("ts is not null and value is not null").select("event_id", F.array(_hours() / F.lit(3.0), F.col("value") / F.lit(25.0)).alias("v"))
+    out = D.mean_shift_modes(rows, rows.where(F.col("event_id") % 50 == 0), 1.0, "epanechnikov", id_col="event_id", vector_col="v", epsilon=MODE_EPSILON, limit=MODE_STEPS)
+    return out.select("id", "steps", F.round(F.col("mode")[0], 6).alias("hour"), F.round(F.col("mode")[1], 6).alias("value"), "settled")
+
+
 # --- tables of times -------------------------------------------------------------------------------------------
 
 #: Published milliseconds of the filter (pixels, one device, processor).
