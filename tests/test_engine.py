@@ -106,6 +106,34 @@ def test_step_follows_the_gradient(spark):
         assert moved[x] == pytest.approx(h * h / 3 * gradient / g[x], rel=1e-5, abs=1e-7)
 
 
+@pytest.mark.parametrize("kernel", ["uniform"])
+@pytest.mark.parametrize("h,low,wide,grid", [(1.0, 0.0, 8.0, 64.0), (0.37, 100.0, 3.0, None), (25.0, -60.0, 50.0, 4.0), (1.0, 3.0, 0.0, None)])
+def test_strips_compare_few_and_weigh_all(monkeypatch, kernel, h, low, wide, grid):
+    x = np.random.default_rng(3).random((20000, 2)) * wide + low
+    x = np.floor(x * grid) / grid if grid else x
+    y = np.concatenate([x[::100], x[:3] + [0.5 * h, 40 * h], [[np.nan, low]]])
+    weight, total = np.zeros(len(y)), np.zeros_like(y)
+    D._compare_all(x, y, h, kernel, weight, total)
+    compared, one_by_one = [], D.Strips._compared
+    monkeypatch.setattr(D.Strips, "_compared", lambda self, y, who, at, w, t: (compared.append(len(at)), one_by_one(self, y, who, at, w, t)))
+    w, t = np.zeros(len(y)), np.zeros_like(y)
+    D.Strips(x, h, kernel).add(y, w, t)
+    assert np.allclose(w, weight, rtol=1e-11) and np.allclose(t[:-1], total[:-1], rtol=1e-11)
+    assert sum(compared) < 0.05 * len(x) * len(y)
+
+
+def test_steps_over_nulls_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 64)
+    data = np.random.default_rng(4).random((900, 2)) * 5
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(-1, None), (-2, [None, 1.0]), (-3, [float("nan"), 1.0]), (-4, [float("inf"), 1.0])]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    found = {r.id: r for r in D.mean_shift_points(points, points.where("id % 9 = 0"), 1.0, id_col="id", vector_col="v").collect()}
+    assert len(found) == 100
+    for i, r in found.items():
+        near = ((data - data[i]) ** 2).sum(axis=1) < 1
+        assert r.weight == near.sum() and np.allclose(r.shifted, data[near].mean(axis=0), atol=1e-12)
+
+
 @pytest.mark.parametrize("kernel", ["uniform", "gaussian", "epanechnikov"])
 def test_modes_of_two_heaps(spark, monkeypatch, kernel):
     monkeypatch.setattr(D, "TILE", 16)
