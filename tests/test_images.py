@@ -160,6 +160,28 @@ def test_relational_filter_equals_the_twin(spark, noisy):
     assert got == dict(enumerate(twin_filter(values, width, p)))
 
 
+@pytest.mark.parametrize("side", [4, 128])
+def test_offsets_over_tiles_nulls_and_copies(spark, noisy, monkeypatch, side):
+    monkeypatch.setattr(M, "SIDE", side, raising=False)
+    width, values = noisy
+    rows = [("a", i, i % width, i // width, *v) for i, v in enumerate(values) if i % 11]
+    rows += rows[:2] + [("a", 500, 3, 3, *values[3]), ("a", 501, 10**6, 10**6, *values[0]), ("a", 502, 2, 2, None, 1.0, 1.0), ("a", 503, None, None, 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "image_id string, idx long, x int, y int, l double, u double, v double")
+    got = M.window_mean_by_offsets(frame, Params(sigma_s=3.0)).collect()
+    assert len(got) == len(set(rows)) and {r.n for r in got if r.idx in (502, 503)} == {0}
+    for r in got:
+        near, times = [], rows.count(("a", r.idx, r.y0, r.y1, r.y2, r.y3, r.y4))
+        for q in rows:
+            if r.y0 is None or r.y2 is None or q[2] is None or q[4] is None:
+                continue
+            d, c = [(q[k + 2] - r[f"y{k}"]) / (3.0 if k < 2 else 6.5) for k in range(5)], 4.0 if r.y2 > 80 else 1.0
+            if d[0] ** 2 + d[1] ** 2 < 1 and c * d[2] * d[2] + d[3] * d[3] + d[4] * d[4] < 1:
+                near.append(q)
+        assert r.n == len(near) * times
+        want = [sum(float(q[k + 2]) for q in near) / len(near) - r[f"y{k}"] if near else 0.0 for k in range(5)]
+        assert [r[f"m{k}"] for k in range(5)] == want
+
+
 def test_regions_equal_the_sequential_twin(spark):
     rng = random.Random(11)
     width, height = 7, 6
