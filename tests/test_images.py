@@ -182,6 +182,19 @@ def test_offsets_over_tiles_nulls_and_copies(spark, noisy, monkeypatch, side):
         assert [r[f"m{k}"] for k in range(5)] == want
 
 
+@pytest.mark.parametrize("slots", [0, 4, 8])
+@pytest.mark.parametrize("side", [4, 128])
+def test_relational_filter_takes_a_round_for_a_tile(spark, noisy, monkeypatch, side, slots):
+    width, values = noisy
+    monkeypatch.setattr(M, "SIDE", side)
+    p, written, saved = Params(sigma_s=3.0, cycle_slots=slots), [], M._saved
+    monkeypatch.setattr(M, "_saved", lambda df, name: (written.append(name), saved(df, name))[1])
+    got = {r.idx: (r.l, r.u, r.v, r.iters) for r in M.filter_relational(luv_frame(spark, values, width), p).collect()}
+    want = dict(enumerate(twin_filter(values, width, p)))
+    assert got == want and max(r[3] for r in want.values()) > 3
+    assert written.count("filter") == 1 if side == 128 else 1 < written.count("filter") < max(r[3] for r in want.values())
+
+
 def test_regions_equal_the_sequential_twin(spark):
     rng = random.Random(11)
     width, height = 7, 6
