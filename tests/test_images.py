@@ -301,3 +301,18 @@ def test_components(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).select("root").distinct().count() == 1
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "binary"])
+def test_few_links_take_no_rounds(spark, monkeypatch, kind):
+    from driftmode.operators import components as K
+
+    rng, written, saved = random.Random(2), [], K._saved
+    monkeypatch.setattr(K, "_saved", lambda df, name: (written.append(name), saved(df, name))[1])
+    links = [(i, i + 1) for i in range(1000, 1060)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(7, 7), (None, 5)]
+    frame = spark.createDataFrame(links, "a int, b int").selectExpr(*(f"cast(cast({c} as string) as {kind}) {c}" for c in "ab"))
+    few = sorted(tuple(r) for r in K.connected_components(frame).collect())
+    assert len(written) == 2
+    monkeypatch.setattr(K, "FEW_LINKS", 20)
+    assert sorted(tuple(r) for r in K.connected_components(frame).collect()) == few
+    assert len(written) > 5
