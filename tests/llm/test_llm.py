@@ -712,6 +712,26 @@ def test_memo_equals_the_library(tokenizers):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_pieces_go_to_the_library_together(tokenizers):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    encoder = token_files.LibraryEncoder(tokenizer_file("byte_bpe_50k.json"))
+    alone = []
+
+    class Watched:
+        def encode_batch_fast(self, given, **options):
+            alone.extend(given[0] if options.get("is_pretokenized") else [])
+            return library.encode_batch_fast(given, **options)
+
+    encoder.tokenizer, encoder.pieces.half = Watched(), 4000  # a memo of some twenty pieces
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([*map("".join, zip("abcdefgh" * 40, rng.choices("éßzaø×1", k=320), rng.choices("nrst'", k=320))), "the", "é"], k=60)) for _ in range(30)]
+    for batch in (texts[:10], texts[10:], texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert alone and not any(p[0] == " " and p[1:].isascii() and p[1:].isalpha() for p in alone)
+    the = np.frombuffer(encoder._ids(["the"])[0], "<u4")
+    assert len(the) == 1 and encoder._cut(["th", "e"], the) is None and encoder._cut(["the"], the) == {"the": the.tobytes()}
+
+
 # --- queries and pipeline ---
 
 
