@@ -157,6 +157,50 @@ def test_modes_of_two_heaps(spark, monkeypatch, kernel):
     assert D.mean_shift_modes(points, points.limit(0), 2.0, kernel, id_col="id", vector_col="v").count() == 0
 
 
+@pytest.mark.parametrize("kernel", ["uniform", "epanechnikov", "gaussian"])
+def test_modes_read_points_once_and_count_copies(spark, kernel):
+    """The rows of the points are made once, whatever the number of steps, and a copy weighs as much as another point."""
+    data = np.random.default_rng(6).random((400, 2)) * 4
+    copies = np.arange(400) % 7 + 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, v.tolist()) for i, v in enumerate(data) for _ in range(copies[i])] + [(-1, None), (-2, [None, 1.0]), (-3, [float("nan"), 1.0])]
+    points = spark.createDataFrame(rows, "id long, v array<double>").mapInArrow(counted, "id long, v array<double>")
+    starts = [(i, data[i % 20].tolist()) for i in range(60)] + [(60, [99.0, 99.0]), (61, [float("nan"), 0.0]), (62, [None, 0.0]), (63, None)]
+    found = {r.id: r for r in D.mean_shift_modes(points, spark.createDataFrame(starts, "id long, v array<double>"), 1.0, kernel, id_col="id", vector_col="v", epsilon=0.0, limit=4).collect()}
+    assert seen.value == len(rows)
+    assert sorted(found) == list(range(62)) and (found[61].steps, found[61].settled) == (4, False)
+    weigh = {"uniform": lambda d: d < 1, "epanechnikov": lambda d: np.maximum(1 - d, 0), "gaussian": lambda d: np.exp(-d / 2)}[kernel]
+    for i, r in found.items():
+        if i < 60:
+            y = data[i % 20]
+            for _ in range(4):
+                w = weigh(((data - y) ** 2).sum(axis=1)) * copies
+                y = w @ data / w.sum()
+            assert (r.steps, r.settled) == (4, False) and np.allclose(r.mode, y, atol=1e-9)
+
+
+@pytest.mark.parametrize("kernel", ["uniform", "epanechnikov"])
+@pytest.mark.parametrize("most", [3, 1 << 40])
+def test_strips_count_points_many_times(kernel, most):
+    """Also so often that sums of whole numbers would not fit."""
+    rng = np.random.default_rng(7)
+    x, times = rng.random((5000, 2)) * [6, 0.3], rng.integers(1, most, 5000)
+    x[-1] = [3.0, 900.0]  # alone, so that bins are far more than points and are searched
+    y = x[::50]
+    sums = []
+    for f in (lambda w, t: D._compare_all(x, y, 1.0, kernel, w, t, times), lambda w, t: D._weigh(x, y, 1.0, kernel, w, t, times)):
+        sums.append((np.zeros(len(y)), np.zeros_like(y)))
+        f(*sums[-1])
+    (weight, total), (w, t) = sums
+    assert np.allclose(w, weight, rtol=1e-9) and np.allclose(t / w[:, None], total / weight[:, None], rtol=0, atol=1e-9)
+
+
 @pytest.mark.parametrize("side", [64, 128])
 def test_square_matrices(spark, tmp_path, side):
     values = np.random.default_rng(side).integers(0, 256, (side, side))
