@@ -29,8 +29,9 @@ import os
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 from operator import itemgetter
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _files, _text
 from ._spark import fresh_dir, written
-from .bpe import _ENTRY, LONG_PIECE, Classes, Remembered, Splitter, library_classes
+from .bpe import _ENTRY, LONG_PIECE, Classes, Splitter, library_classes
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -206,26 +207,36 @@ _PLAIN = re.compile("[ ][A-Za-zªµºÀ-ÖØ-öø-ɏ]+").fullmatch
 _JOINED = 100
 
 
-class _Pieces(Remembered):
-    """A memo that notes what it lacks, and gives nothing for it."""
+class _Pieces(defaultdict):
+    """A memo of the ids of pieces, of two generations like ``bpe.Remembered``. What it lacks it takes up with no ids, by
+    the interpreter's own code alone; ``lacked`` gives these, the last ones, to be filled in."""
 
     def __init__(self, limit: int):
-        super().__init__(None, limit, True)
-        self.lacked: list[str] = []
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            self.lacked.append(key)
-            return b""
-        self.held += _ENTRY + len(key) + len(value)
-        self[key] = value
-        return value
+        super().__init__(bytes)
+        self.half, self.old, self.held = limit // 2, {}, 0
 
     def all_of(self, pieces: list[str]) -> list[bytes]:
         """The entries of all pieces, one pass of the interpreter's own code."""
         return list(itemgetter(*pieces)(self)) if len(pieces) > 1 else [self[p] for p in pieces]
 
+    def lacked(self, known: int) -> list[str]:
+        """The pieces taken up since there were ``known``."""
+        return list(islice(reversed(self), len(self) - known))
+
+    def fill(self, found: dict[str, bytes]) -> None:
+        self.update(found)
+        self.held += _ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+    def turn(self) -> None:
+        """Drop the older generation if the younger one has half of the bytes."""
+        if self.held > self.half:
+            self.old = dict(self)
+            self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class LibraryEncoder:
     """The tokenizers library behind a memo of pieces. The vocabulary's pre-tokenizer cuts texts by PATTERN and
@@ -255,12 +266,15 @@ class LibraryEncoder:
         at, raw = [0, *(4 * ends + 4).tolist()], ids.tobytes()
         return dict(zip(pieces, map(raw.__getitem__, map(slice, at, at[1:]))))
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the memo lacks: a call of the library for plain ones and one for the others."""
-        long = {p for p in pieces if len(p) > LONG_PIECE}  # not remembered
-        aside = dict(zip(long, self._ids(list(long)))) if long else {}
-        found: dict[str, bytes] = {}
-        new = list(pieces.difference(long))
+    def _learn(self, pieces: list[str]) -> None:
+        """Fill in the ids of pieces that the memo lacks: a call of the library for plain ones and one for the others."""
+        old = self.pieces.old
+        found = {p: old[p] for p in pieces if p in old} if old else {}
+        new = [p for p in pieces if p not in found] if found else pieces
+        long = [p for p in new if len(p) > LONG_PIECE]
+        if long:
+            found.update(zip(long, self._ids(long)))
+            new = [p for p in new if len(p) <= LONG_PIECE]
         plain, rest = list(filter(_PLAIN, new)), list(filterfalse(_PLAIN, new))
         if plain:
             joined = ["".join(plain[k : k + _JOINED]) for k in range(0, len(plain), _JOINED)]
@@ -273,14 +287,21 @@ class LibraryEncoder:
         if rest:
             (e,) = self.tokenizer.encode_batch_fast([rest], is_pretokenized=True, add_special_tokens=False)
             found.update(self._cut(rest, np.array(e.ids, "<u4")))
-        self.pieces.put_all(found)
-        return found | aside if aside else found
+        self.pieces.fill(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        try:
+            return self._encode(texts)
+        except BaseException:
+            self.pieces.forget()  # else pieces without ids would stay, and the worker may run another task
+            raise
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         parts: list[list[bytes]] = []
-        open_: list[tuple[list[bytes], list[str]]] = []
-        lacked = self.pieces.lacked
+        open_: list[tuple[list[bytes], list[int], list[str]]] = []
+        self.pieces.turn()
+        known = len(self.pieces)
         for t in texts:
             t = t or ""
             latin = not self.split.beyond(t)
@@ -288,18 +309,23 @@ class LibraryEncoder:
                 parts.append(self._ids([t]))
                 continue
             cut = self.split.latin(t) if latin else self.split.any(t)
-            before = len(lacked)
             ids = self.pieces.all_of(cut)
             parts.append(ids)
-            if len(lacked) > before:
-                open_.append((ids, lacked[before:]))
-        found = self._learn(set(lacked)) if lacked else {}
-        lacked.clear()
-        for ids, pieces in open_:
-            i = -1
-            for p in pieces:  # in the order of the text
-                i = ids.index(b"", i + 1)
-                ids[i] = found[p]
+            if not all(ids):
+                i, holes = -1, []
+                for _ in range(ids.count(b"")):
+                    i = ids.index(b"", i + 1)
+                    holes.append(i)
+                open_.append((ids, holes, [cut[i] for i in holes]))
+        if open_:
+            new = self.pieces.lacked(known)
+            self._learn(new)
+            for ids, holes, pieces in open_:
+                for i, x in zip(holes, self.pieces.all_of(pieces)):
+                    ids[i] = x
+            for p in new:
+                if len(p) > LONG_PIECE:  # not remembered
+                    self.pieces.held -= _ENTRY + len(p) + len(self.pieces.pop(p))
         return [b"".join(x) for x in parts]
 
 
