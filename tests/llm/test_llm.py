@@ -732,6 +732,29 @@ def test_plain_pieces_go_to_the_library_together(tokenizers):
     assert len(the) == 1 and encoder._cut(["th", "e"], the) is None and encoder._cut(["the"], the) == {"the": the.tobytes()}
 
 
+def test_pieces_are_taken_up_without_calls_and_never_stay_without_ids(tokenizers):
+    assert "__missing__" not in vars(token_files._Pieces)  # a call for each piece that is lacked
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    encoder = token_files.LibraryEncoder(tokenizer_file("byte_bpe_50k.json"))
+    texts = [prose(1, 60), prose(2, 60) + " " + "z" * 300 + " end", "z" * 300]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Broken:
+        def encode_batch_fast(self, given, **options):
+            raise ValueError("broken")
+
+    whole, encoder.tokenizer = encoder.tokenizer, Broken()
+    with pytest.raises(ValueError, match="broken"):
+        encoder.encode(texts)
+    encoder.tokenizer = whole
+    for half in (encoder.pieces.half, 2000, 0):  # the last ones turn the generations at each call
+        encoder.pieces.half = half
+        for batch in ([0, 1, 2], [2, 0], [1]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([texts[k] for k in batch])] == [want[k] for k in batch]
+            assert all(encoder.pieces.values()) and max(map(len, encoder.pieces)) <= bpe.LONG_PIECE
+            assert encoder.pieces.held == sum(bpe._ENTRY + len(k) + len(v) for k, v in encoder.pieces.items())
+
+
 # --- queries and pipeline ---
 
 
